@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, per_document, table
+from .common import held_out, labelled_sample, materialise, per_document, table
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,6 +34,7 @@ class ToxicityConfig:
     #: A feature must stand in so many toxic training documents, and be so many times as frequent there.
     min_documents: int = 4
     min_lift: float = 3.0
+    max_features: int = 50_000
     steps: int = 200
     rate: float = 0.2
     l1: float = 1e-5
@@ -67,47 +69,57 @@ def _features(words: set[str]) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in PREFIXES if len(w) > k}
 
 
-def _bag(text: str) -> list[np.ndarray]:
-    """Feature hashes of each distinct sentence of a text."""
-    kept = {frozenset(_features(set(_WORD.findall(text[a:b].lower())))) for a, b in sentences(text)}
-    return [np.fromiter((zlib.crc32(f.encode()) for f in s), "<u4", len(s)) for s in kept if s]
+def _sentence_features(text: str) -> list[set[str]]:
+    return [_features(set(_WORD.findall(text[a:b].lower()))) for a, b in sentences(text)]
+
+
+def screen(sample: DataFrame, config: ToxicityConfig) -> list[str]:
+    """Features that stand in enough toxic documents, and in a larger share of them than of the others.
+
+    Counted on the executors: each batch sends a feature's counts once.
+    """
+
+    def count(cols):
+        toxic: Counter = Counter()
+        clean: Counter = Counter()
+        for text, y in zip(cols["text"], cols["y"], strict=True):
+            (toxic if y else clean).update(_features(set(_WORD.findall(text.lower()))))
+        names = list(toxic.keys() | clean.keys())
+        return {"f": names, "toxic": [toxic[f] for f in names], "clean": [clean[f] for f in names]}
+
+    n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    counts = per_document(sample, ["text", "y"], count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    lift = F.col("toxic") * max(n.get(0, 0), 1) / ((F.col("clean") + 0.5) * max(n.get(1, 0), 1))
+    kept = counts.where((F.col("toxic") >= config.min_documents) & (lift >= config.min_lift))
+    return sorted(r.f for r in kept.orderBy(F.desc("toxic"), "f").limit(config.max_features).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), label: str = "toxic") -> ToxicityModel:
-    """Fit on a bounded sample of labelled rows; executors turn its texts into feature hashes, the driver fits."""
+    """Fit on a bounded sample of labelled rows: executors turn its texts into feature numbers, the driver fits."""
+    sample = materialise(labelled_sample(docs, labels, label, config.sample_per_class), "toxicity-sample")
+    names = screen(sample, config)
+    number = {f: i for i, f in enumerate(names)}
 
     def bags(cols):
         y, size, body = [], [], []
         for text, v in zip(cols["text"], cols["y"], strict=True):
-            bag = _bag(text)
-            if bag:
-                y.append(v)
-                size.append(np.array([len(s) for s in bag], "<u4").tobytes())
-                body.append(np.concatenate(bag).tobytes())
+            bag = [sorted(number[f] for f in s if f in number) for s in _sentence_features(text)]
+            y.append(v)
+            size.append(np.array([len(s) for s in bag], "<u4").tobytes())
+            body.append(np.array([i for s in bag for i in s], "<u4").tobytes())
         return {"y": y, "size": size, "body": body}
 
-    sample = labelled_sample(docs, labels, label, config.sample_per_class)
     rows = per_document(sample, ["text", "y"], bags, "y int, size binary, body binary").collect()
-    if not rows or len({r.y for r in rows}) < 2:
+    if len({r.y for r in rows}) < 2 or not names:
         return ToxicityModel(config.start_bias)
-    rows.sort(key=lambda r: (r.y, zlib.crc32(r.body), len(r.body)))
+    rows.sort(key=lambda r: (r.y, r.body, r.size))
     y = np.array([r.y for r in rows])
     sizes = [np.frombuffer(r.size, "<u4") for r in rows]
     sent_doc = np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
-    flat = np.concatenate([np.frombuffer(r.body, "<u4") for r in rows])
+    ids = np.concatenate([np.frombuffer(r.body, "<u4") for r in rows]).astype(np.int64)
     sent_of = np.repeat(np.arange(len(sent_doc)), np.concatenate(sizes).astype(np.int64))
-    values, ids = np.unique(flat, return_inverse=True)
-    pairs = np.unique(sent_doc[sent_of].astype(np.int64) * len(values) + ids)
-    toxic = np.bincount(pairs % len(values), y[pairs // len(values)], len(values))
-    clean = np.bincount(pairs % len(values), 1 - y[pairs // len(values)], len(values))
-    lift = (toxic / max(y.sum(), 1)) / ((clean + 0.5) / max((1 - y).sum(), 1))
-    kept = (toxic >= config.min_documents) & (lift >= config.min_lift)
-    new = np.cumsum(kept) - 1
-    keep = kept[ids]
-    ids, sent_of = new[ids[keep]], sent_of[keep]
-    w, b = _noisy_or(ids, sent_of, sent_doc, y, int(kept.sum()), config)
-    by_hash = dict(zip(values[kept].tolist(), w.tolist(), strict=True))
-    return ToxicityModel(b, _named(sample, {h: v for h, v in by_hash.items() if abs(v) > 1e-3}))
+    w, b = _noisy_or(ids, sent_of, sent_doc, y, len(names), config)
+    return ToxicityModel(b, {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3})
 
 
 def _noisy_or(ids, sent_of, sent_doc, y, n, config):
@@ -134,21 +146,6 @@ def _noisy_or(ids, sent_of, sent_doc, y, n, config):
     return w, float(b)
 
 
-def _named(sample: DataFrame, by_hash: dict[int, float]) -> dict[str, float]:
-    """Names of the hashed features that have a weight; two names of one hash get none, rather than each other's."""
-
-    def names(cols):
-        found = set()
-        for text in cols["text"]:
-            found |= {f for f in _features(set(_WORD.findall(text.lower()))) if zlib.crc32(f.encode()) in by_hash}
-        return {"f": sorted(found)}
-
-    out: dict[int, list[str]] = {}
-    for r in per_document(sample, ["text"], names, "f string").distinct().collect():
-        out.setdefault(zlib.crc32(r.f.encode()), []).append(r.f)
-    return {f[0]: by_hash[h] for h, f in out.items() if len(f) == 1}
-
-
 class _Scorer:
     """Scores texts with a memo of word weights of bounded size."""
 
