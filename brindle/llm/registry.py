@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import exact_dedup
+from .exact_dedup import op7_exact_dedup
+from .packing import op3_harmonic_packing
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_harmonic_packing": op3_harmonic_packing,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+}
