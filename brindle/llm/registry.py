@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, url_filters
 from .exact_dedup import op7_exact_dedup
+from .html_blocks import op5_html_extraction
+from .mpeg_audio import op10_mpeg_audio
 from .packing import op3_harmonic_packing
 from .toxicity import op1_toxicity
+from .url_filters import op9_url_filters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_url_filters": op9_url_filters,
+    "op10_mpeg_audio": op10_mpeg_audio,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_url_filters": url_filters.OP9_SQL,
 }
