@@ -7,6 +7,7 @@ from .exact_dedup import op7_exact_dedup
 from .html_blocks import op5_html_extraction
 from .mpeg_audio import op10_mpeg_audio
 from .packing import op3_harmonic_packing
+from .simhash import op6_simhash_near_dedup
 from .toxicity import op1_toxicity
 from .url_filters import op9_url_filters
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op5_html_extraction": op5_html_extraction,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_mpeg_audio": op10_mpeg_audio,
