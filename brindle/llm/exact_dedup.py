@@ -74,6 +74,8 @@ ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each of many small stores reserves megabytes of disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
