@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import exact_dedup, mixing, url_filters
 from .exact_dedup import op7_exact_dedup
 from .html_blocks import op5_html_extraction
+from .line_quality import op4_line_quality
 from .mixing import op8_mixing
 from .mpeg_audio import op10_mpeg_audio
 from .packing import op3_harmonic_packing
@@ -15,6 +16,7 @@ from .url_filters import op9_url_filters
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_line_quality": op4_line_quality,
     "op5_html_extraction": op5_html_extraction,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
