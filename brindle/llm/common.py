@@ -14,6 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Temporary column names start with this, so they cannot clash with a caller's columns.
 MINE = "__brindle_"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: list[str] = []
 
 
@@ -36,9 +37,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     That cuts lineage: losing an executor later recomputes no step before this one.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # shuffle files of a step go when its result is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

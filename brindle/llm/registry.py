@@ -9,12 +9,14 @@ from .line_quality import op4_line_quality
 from .mixing import op8_mixing
 from .mpeg_audio import op10_mpeg_audio
 from .packing import op3_harmonic_packing
+from .repeated_spans import op2_substring_dedup
 from .simhash import op6_simhash_near_dedup
 from .toxicity import op1_toxicity
 from .url_filters import op9_url_filters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_line_quality": op4_line_quality,
     "op5_html_extraction": op5_html_extraction,
