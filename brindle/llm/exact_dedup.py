@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MINE, SPACE, fresh_path, materialise, table
+from .common import SPACE, fresh_path, materialise, table
 
 
 def normalised(text: Column) -> Column:
@@ -118,10 +118,8 @@ def by_text(docs: DataFrame, failed: DataFrame, digest=sha256_text) -> DataFrame
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; one row even where the smallest doc_id stands repeatedly."""
-    dropped = groups(docs)
-    stays = dropped.where("kept").select("doc_id", F.col("group_size").alias(f"{MINE}size")).dropDuplicates(["doc_id"])
-    return docs.join(stays.select("doc_id"), "doc_id", "left_semi")
+    """The rows of docs that stay, with all their columns."""
+    return docs.join(groups(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
