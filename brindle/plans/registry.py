@@ -1,4 +1,9 @@
 """Queries over the reference tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .bundle_queries import BUNDLE
+from .ledger_queries import LEDGER
+
+_ALL = BUNDLE | LEDGER
+
+QUERIES = {name: q for name, (q, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
