@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh_path, materialise, table
+from .common import SPACE, fresh_path, materialise, partitions, table
 
 
 def normalised(text: Column) -> Column:
@@ -99,14 +99,22 @@ def groups(docs: DataFrame, digest=sha256_text) -> DataFrame:
 def check_hits(docs: DataFrame, state: DataFrame, digest=sha256_text) -> DataFrame:
     """Digests whose documents aren't all the same text, by their full bytes.
 
-    Only documents whose digest has copies send their texts. The ids of those come by a join on doc_id-free digests:
-    the digest is computed anew where the text is read, and joined to the repeated digests alone. Each task sends two
-    texts of a digest at most.
+    Texts meet the repeated digests in a join, and the smallest and the largest text of each are compared. A digest
+    with over a thousandth of all rows (there are under a thousand of these, so they are broadcast) is dealt out over
+    as many tasks as a shuffle has; each sends two texts on.
     """
-    hits = state.where("group_size > 1").select("digest")
+    n = partitions(docs.sparkSession)
+    total = state.agg(F.sum("group_size").alias("n")).first().n or 0
+    hot = state.where(F.col("group_size") > max(1000, total // 1000)).select("digest", F.lit(True).alias("hot"))
+    hits = state.where("group_size > 1").select("digest").join(F.broadcast(hot), "digest", "left")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    hits = hits.select("digest", F.explode(salts).alias("salt"))
     text = normalised(docs["text"])
-    rows = docs.select(digest(text).alias("digest"), text.alias("text")).join(hits, "digest", "left_semi")
-    return materialise(rows.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest"), "exact-failed")
+    rows = docs.select(digest(text).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("salt"), text.alias("text"))
+    rows = rows.join(F.broadcast(hot), "digest", "left").select("digest", F.when(F.col("hot"), F.col("salt")).otherwise(0).alias("salt"), "text")
+    ends = rows.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    whole = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return materialise(whole.where("low <> high").select("digest"), "exact-failed")
 
 
 def by_text(docs: DataFrame, failed: DataFrame, digest=sha256_text) -> DataFrame:

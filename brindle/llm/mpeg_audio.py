@@ -174,10 +174,12 @@ def parse(data: bytes | None, keep_body: bool = False) -> Stream:
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
             if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 out.tags.setdefault(f"v1:{name}", text)
-    synced, ticks = False, {}
+    synced, ticks, kind = False, {}, None
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        if h is None or at + h.length > end or not synced and not _followed(data, at + h.length, end):
+        # a frame in sync has its neighbours' version, layer and rate; any other must be followed by a header
+        same = h is not None and synced and (h.version, h.layer, h.rate) == kind
+        if h is None or at + h.length > end or not same and not _followed(data, at + h.length, end):
             skip = data.find(b"\xff", at + 1, end)
             skip = end if skip < 0 else skip
             out.skipped += skip - at
@@ -203,7 +205,7 @@ def parse(data: bytes | None, keep_body: bool = False) -> Stream:
             out.rate, out.layer = h.rate, h.layer
             if keep_body:
                 out.body.append(frame[4 + 2 * h.protected + h.side :])
-        synced, at = True, at + h.length
+        synced, at, kind = True, at + h.length, (h.version, h.layer, h.rate)
     out.skipped += max(0, end - at)
     out.duration = sum((Fraction(n, rate) for rate, n in ticks.items()), Fraction(0))
     return out
