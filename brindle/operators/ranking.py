@@ -40,15 +40,13 @@ def find_lesson(index: DataFrame, keyword: str, limit: int = 10) -> DataFrame:
     return rows.where((F.col("score") > 0) & F.lit(bool(kw))).orderBy(F.desc("score"), "line_no").limit(limit).drop("line_no")
 
 
-def _escaped(word: Column) -> Column:
-    return F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b"))
-
-
 def matched_lessons(prompts: DataFrame, index: DataFrame, existing: DataFrame, most: int = C.MAX_LESSONS) -> DataFrame:
     """(prompt_id, target, score, rank): index lines by how many of their keywords stand in the prompt as words.
 
     Lines whose lesson doesn't exist go; of lines to one lesson the best ranked stays. Keywords of word characters only
-    meet the prompt's tokens in an equi join; others are looked for with a pattern, once per distinct keyword.
+    meet the prompt's tokens in an equi join. Of any other keyword, its first token must be a token of the prompt: that
+    joins, and the keyword as a whole is then looked for with a pattern. Only keywords without a letter or digit are
+    held against every prompt.
     """
     low = prompts.select("prompt_id", F.lower("prompt").alias("low"))
     lines = index.join(existing.select("target"), "target", "left_semi")
@@ -57,11 +55,16 @@ def matched_lessons(prompts: DataFrame, index: DataFrame, existing: DataFrame, m
     plain = F.col("key").rlike("^[a-z0-9_]+$")
     tokens = low.select("prompt_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("key"))
     by_token = tokens.join(distinct, "key").select("prompt_id", "key")
-    # keywords of several words: a prompt block against the keyword list, the keywords being the small side
-    by_pattern = low.join(distinct.where(~plain), F.expr(r"rlike(low, concat('\\b\\Q', key, '\\E\\b'))")).select("prompt_id", "key")
+    first = F.regexp_extract("key", r"[\p{L}\p{N}_]+", 0)
+    others = distinct.where(~plain).select("key", first.alias("first"))
+    all_tokens = low.select("prompt_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("first"))
+    stands = F.expr(r"rlike(low, concat('(?U)\\b\\Q', key, '\\E\\b'))")
+    by_first = all_tokens.join(others.where("first <> ''"), "first").where(stands).select("prompt_id", "key")
+    by_all = low.join(others.where("first = ''"), stands).select("prompt_id", "key")
+    by_pattern = by_first.unionByName(by_all).distinct()
     hits = by_token.unionByName(by_pattern).join(keys, "key").groupBy("prompt_id", "line_no", "target").agg(F.count(F.lit(1)).alias("score"))
-    first = W.partitionBy("prompt_id", "target").orderBy(F.desc("score"), "line_no")
-    once = hits.withColumn("n", F.row_number().over(first)).where("n = 1")
+    best = W.partitionBy("prompt_id", "target").orderBy(F.desc("score"), "line_no")
+    once = hits.withColumn("n", F.row_number().over(best)).where("n = 1")
     rank = F.row_number().over(W.partitionBy("prompt_id").orderBy(F.desc("score"), "line_no"))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).select("prompt_id", "target", "score", "rank")
 

@@ -81,11 +81,11 @@ def _part_index(spark, sf_dir):
 
 
 def lesson_containment(spark, sf_dir):
-    return R.find_lesson(_part_index(spark, sf_dir), "1", limit=20)
+    return R.find_lesson(_part_index(spark, sf_dir), "Widget", limit=20)
 
 
 CONTAINMENT = """WITH k AS (SELECT p_partkey AS line_no, [lower(p_name), lower(p_type)] AS keys, lower(p_name) AS kw_line FROM part),
-s AS (SELECT line_no, 'part/' || line_no AS target, 'Lessons/part/' || line_no || '.md' AS concept_id, kw_line, len(list_filter(keys, lambda x: contains(x, '1') OR contains('1', x))) AS score FROM k)
+s AS (SELECT line_no, 'part/' || line_no AS target, 'Lessons/part/' || line_no || '.md' AS concept_id, kw_line, len(list_filter(keys, lambda x: contains(x, 'widget') OR contains('widget', x))) AS score FROM k)
 SELECT target, concept_id, kw_line, score FROM s WHERE score > 0 ORDER BY score DESC, line_no LIMIT 20"""
 
 
