@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     whole = shared.join(kinds.where("times > 1").select("m", "content"), ["m", "content"], "left_semi").select("doc_id", "start", "n")
     # paths that branch or loop, and one occurrence of each whole repeat that shares a minimizer with one of them
     mixed = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("variants"), F.max(F.expr("times = 1 and loops")).alias("loops"), F.min("times").alias("least"))
-    mixed = mixed.where("least = 1 and (variants > 1 or loops)").select("m")
+    mixed = materialise(mixed.where("least = 1 and (variants > 1 or loops)").select("m"), "mixed-minimizers")
     branching = kinds.where("times = 1").join(mixed, "m", "left_semi").select("first.*", F.lit(1).cast("tinyint").alias("weight"))
     stand_in = kinds.where("times > 1").join(mixed, "m", "left_semi").select("first.*", F.lit(2).cast("tinyint").alias("weight"))
     work = branching.unionByName(stand_in).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "weight")).alias("work"))
