@@ -117,4 +117,9 @@ BUDGET_SPLIT = {
     "verification": (10, 15, 15, 15, 23),
     "response": (30, 25, 15, 5, 5),
 }
+INITIAL_WEIGHT = {"same_session": 0.10, "model_inferred": 0.20, "one_verified_task": 0.40, "two_verified_tasks": 0.65, "three_confirmations": 0.80, "strong_repeated": 0.90}
+EPISTEMIC = ("observed", "inferred", "predicted", "imagined", "desired", "counterfactual", "unknown")
+HYPOTHESIS_STEPS = (("Proposed", "Testing"), ("Testing", "Confirmed"), ("Testing", "Refuted"))
+WORKSPACE_LIMITS = {"primary_goals": 1, "secondary_goals": 2, "hypotheses": 3, "constraints": 3, "risks": 2, "plan_steps": 5, "memory_refs": 8}
+ASSEMBLY_NODES = 8
 # ---- end of fixed values ----

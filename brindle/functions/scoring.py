@@ -67,10 +67,7 @@ def goal_priority(signal=F.col) -> Column:
 
 
 def authority(source: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for name, v in C.AUTHORITY.items():
-        out = F.when(source == name, v).otherwise(out)
-    return out
+    return lookup(source, C.AUTHORITY)
 
 
 def decision_score(signal=F.col) -> Column:
@@ -116,3 +113,24 @@ def state_actions(pressure: Column, uncertainty: Column, same_failures: Column)
         F.when(same_failures >= 2, F.lit("inhibit_strategy")),
     )
     return F.filter(found, lambda x: x.isNotNull())
+
+
+def lookup(name: Column, values: dict[str, float]) -> Column:
+    """The value of a name; null for others."""
+    out = F.lit(None).cast("double")
+    for k, v in values.items():
+        out = F.when(name == k, F.lit(float(v))).otherwise(out)
+    return out
+
+
+def cognitive_budget(task_class: Column, stage: Column) -> Column:
+    """Percent of the budget of a task class (0 to 4) that a stage gets; null outside the table."""
+    out = F.lit(None).cast("int")
+    for name, shares in C.BUDGET_SPLIT.items():
+        out = F.when((stage == name) & task_class.between(0, 4), F.get(F.array(*map(F.lit, shares)), task_class.cast("int"))).otherwise(out)
+    return out
+
+
+def misfiled(status: Column, stored_as: Column) -> Column:
+    """Whether content is stored as an observation that isn't one; an unknown status counts as one that isn't."""
+    return (stored_as == "observed") & ~F.coalesce(status, F.lit("unknown")).isin("observed")

@@ -85,6 +85,15 @@ def resume(events: DataFrame, by: list[str], order: Column, kind: str) -> DataFr
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("event_count"), F.max_by(kind, order).alias("last_event"))
 
 
+def resume_state(events: DataFrame, memory: DataFrame, by: list[str], order: Column, kind: str) -> DataFrame:
+    """resume() with focus and next_action of the working memory (rows of key, value), which is not kept by session."""
+    def held(k):
+        return F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
+
+    one = memory.agg(held("focus"), held("next_action")).withColumn("one", F.lit(1))
+    return resume(events, by, order, kind).withColumn("one", F.lit(1)).join(F.broadcast(one), "one").drop("one")  # a single row
+
+
 def merge_deltas(deltas: DataFrame, by: list[str], order: Column, value: str) -> DataFrame:
     """Working memory after all deltas: of each key the latest value; keys never go."""
     return deltas.groupBy(*by).agg(F.max_by(value, order).alias(value))

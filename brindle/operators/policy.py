@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 
 def lesson_candidate(change: Column, general: Column, evidence: Column) -> Column:
     return (change >= 0.60) & (general >= 0.50) & (evidence >= 0.60)
@@ -91,3 +92,30 @@ def stale(index: DataFrame, files: DataFrame) -> DataFrame:
     a, b = index.select("path").distinct().withColumn("i", F.lit(1)), files.select("path").distinct().withColumn("f", F.lit(1))
     out = a.join(b, "path", "full_outer").withColumn("problem", F.when(F.col("f").isNull(), "missing file").when(F.col("i").isNull(), "not indexed"))
     return out.where("problem is not null").select("path", "problem")
+
+
+def assembly(nodes: DataFrame, by: list[str], order: str = "ref", most: int = C.ASSEMBLY_NODES) -> DataFrame:
+    """(by..., nodes): the most activated nodes (ref, activation, role) of each goal, best first, at most 8.
+
+    Ranked before they are collected, so a group never holds more than these.
+    """
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("activation"), order))
+    top = nodes.withColumn("rank", rank).where(F.col("rank") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.struct(order, "activation", "role").alias("node"))))
+    return top.groupBy(*by).agg(F.transform(listed, lambda x: x["node"]).alias("nodes"))
+
+
+def workspace(items: DataFrame, by: list[str], kind: str, priority: str, order: str) -> DataFrame:
+    """Items that working memory holds: of each kind as many as its limit, the most important; kinds without a limit go."""
+    limit = F.lit(0)
+    for k, n in C.WORKSPACE_LIMITS.items():
+        limit = F.when(F.col(kind) == k, n).otherwise(limit)
+    rank = F.row_number().over(W.partitionBy(*by, kind).orderBy(F.desc(priority), order))
+    return items.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def narrative(records: DataFrame, kind: str, subject: str, session: str) -> DataFrame:
+    """(kind, subject, sessions, recurs): in how many sessions each project, decision, mistake, strategy or commitment
+    stands, and whether it stands in two or more: rebuilt from session records alone."""
+    out = records.groupBy(kind, subject).agg(F.countDistinct(session).alias("sessions"))
+    return out.withColumn("recurs", F.col("sessions") >= 2)

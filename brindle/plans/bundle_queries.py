@@ -314,7 +314,76 @@ r AS (SELECT c_custkey AS request, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 't'
 SELECT request, coalesce(u || '@example.com', '') AS email, coalesce(role = 'admin', false) AS is_admin, CASE WHEN r.token = '' THEN 'missing bearer credential' WHEN u IS NULL THEN 'unknown token' ELSE '' END AS error FROM r LEFT JOIN k ON r.token = k.token"""
 
 
+def _files(spark, sf_dir):
+    """Documents as files of a bundle: a folder per source, a header around every text."""
+    d = _with_header(spark, sf_dir).join(_read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source")), "doc_id")
+    return d.select("doc_id", F.concat(F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+def bundle_index(spark, sf_dir):
+    """The listing of one folder; long, so its digest."""
+    return bundle.directory_index(_files(spark, sf_dir), "src3").select("path", F.length("index").cast("long").alias("n_chars"), F.md5(F.col("index").cast("binary")).alias("digest"))
+
+
+BUNDLE_INDEX = """SELECT 'src3' AS path, length(t) AS n_chars, md5(t) AS digest FROM (SELECT '# Index: src3' || chr(10) || string_agg('* [d' || doc_id || '.md](d' || doc_id || '.md) - ' || CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END, chr(10) ORDER BY 'd' || doc_id || '.md') AS t
+FROM documents WHERE source = 'src3')"""
+
+
+def lesson_index_lines(spark, sf_dir):
+    """Parts as index lines, every fourth malformed."""
+    p = _read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    line = F.when(k % 4 == 0, F.concat(F.lit("- "), F.col("p_name"))).otherwise(F.concat(F.lit("- [[area/"), k.cast("string"), F.lit("|x]] — "), F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit(" / "), F.col("p_brand")))
+    out = bundle.lesson_index(p.select(k.alias("line_no"), line.alias("line")))
+    return out.select("line_no", "target", "alias", F.array_join("keywords", "|").alias("keywords"))
+
+
+LESSON_INDEX = "SELECT p_partkey AS line_no, 'area/' || p_partkey AS target, 'x' AS alias, lower(p_name) || '|' || lower(p_type) || '|' || lower(p_brand) AS keywords FROM part WHERE p_partkey % 4 <> 0"
+
+
+def log_by_date(spark, sf_dir):
+    """Conversations as logs: a heading every third line, entries in between."""
+    c = _read(spark, sf_dir, "conversations")
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## day "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("* **"), F.col("role"), F.lit("**: n"), F.col("turn").cast("string")))
+    return bundle.log_entries(c.select("conv_id", F.col("turn").alias("line_no"), line.alias("line")), "conv_id")
+
+
+LOG_BY_DATE = """SELECT conv_id, turn AS line_no, max('day ' || h) FILTER (h IS NOT NULL) AS date, role AS label, 'n' || turn AS text
+FROM (SELECT c.conv_id, c.turn, c.role, (SELECT max(d.turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn < c.turn AND d.turn % 3 = 0) AS h FROM conversations c WHERE c.turn % 3 <> 0) GROUP BY conv_id, turn, role"""
+
+
+def prompt_context(spark, sf_dir):
+    """Each benchmark prompt's context: a dashboard and its best document, under the budget."""
+    prompts = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    best = R.matched_concepts(prompts, d.select("path", F.col("text").alias("hay")))
+    concepts = best.join(d, "path").select("prompt_id", F.col("path").cast("string").alias("path"), "rank", "text")
+    lessons = concepts.select("prompt_id", F.col("path").alias("target"), "rank", F.lit("").alias("chunk")).limit(0)
+    out = B.assemble(B.prompt_parts(prompts, "idle", lessons, concepts), ["prompt_id"], "ordinal", "part")
+    return out.select("prompt_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").cast("long").alias("n_chars"))
+
+
+PROMPT_CONTEXT = f"""WITH best AS ({OVERLAP}), x AS (SELECT b.item_id AS prompt_id, '--- Dashboard ---' || chr(10) || 'idle' AS one, '--- Concept: ' || path || ' ---' || chr(10) || left(d.text, 2500) AS two
+FROM benchmark b LEFT JOIN best ON best.prompt_id = b.item_id LEFT JOIN documents d ON d.doc_id = best.path),
+y AS (SELECT prompt_id, one || coalesce(chr(10) || chr(10) || left(two, 6000 - length(one)), '') AS t FROM x) SELECT prompt_id, md5(t) AS digest, length(t) AS n_chars FROM y"""
+
+
+def write_gates(spark, sf_dir):
+    """Documents as skills to write: which are accepted, and why others aren't."""
+    d = _read(spark, sf_dir, "documents").where("text is not null")
+    files = d.where("doc_id % 9 = 0").select(F.concat(F.lit("Skills/skill-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    who = F.when(F.col("doc_id") % 8 == 0, "").otherwise("ann")
+    c = d.select(F.concat(F.lit("Skill "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"), who.alias("author_name"), F.lit("a@example.com").alias("author_email"))
+    ok, bad = proposals.new_skill(c, files, "2024-01-01")
+    return ok.select("path", F.lit("").alias("error")).unionByName(bad.select("path", "error"))
+
+
 BUNDLE = {
+    "bundle_index": (bundle_index, BUNDLE_INDEX),
+    "lesson_index_lines": (lesson_index_lines, LESSON_INDEX),
+    "log_by_date": (log_by_date, LOG_BY_DATE),
+    "prompt_context": (prompt_context, PROMPT_CONTEXT),
+    "write_gates": (write_gates, None),
     "bundle_search": (bundle_search, _search_sql(T.literal_query_words(WORDS), "true")),
     "search_by_type": (search_by_type, _search_sql(T.literal_query_words("queue source src1"), "lang = 'fr'")),
     "prompt_tokens": (prompt_tokens, PROMPT_TOKENS),

@@ -385,7 +385,75 @@ LIFECYCLE = """WITH r AS (SELECT conv_id, turn, ['proposed', 'authorized', 'acti
 b AS (SELECT *, lag(status) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r)
 SELECT *, coalesce(before = status OR (before, status) IN (('proposed','authorized'),('authorized','active'),('active','achieved'),('achieved','verified')), true) AS allowed FROM b"""
 
+def assembly_nodes(spark, sf_dir):
+    nodes = _candidates(spark, sf_dir).select("label", F.col("vec_id").alias("ref"), "activation", F.when(F.col("vec_id") % 2 == 0, "domain").otherwise("method").alias("role"))
+    out = P.assembly(nodes, ["label"])
+    return out.select("label", F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["ref"].cast("string"), n["role"])), ",").alias("nodes"))
+
+
+ASSEMBLY = f"""WITH {_candidates_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY activation DESC, vec_id) AS rank FROM c)
+SELECT label, string_agg(vec_id || ':' || CASE WHEN vec_id % 2 = 0 THEN 'domain' ELSE 'method' END, ',' ORDER BY rank) AS nodes FROM r WHERE rank <= 8 GROUP BY label"""
+
+
+def workspace_limits(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    kinds = F.array(*map(F.lit, [*C.WORKSPACE_LIMITS, "other"]))
+    items = e.select("user_id", "event_id", F.element_at(kinds, (F.col("event_id") % 8 + 1).cast("int")).alias("kind"), ((F.col("event_id") * 7) % 101).alias("priority"))
+    return P.workspace(items, ["user_id"], "kind", "priority", "event_id")
+
+
+WORKSPACE = f"""WITH i AS (SELECT user_id, event_id, [{", ".join(f"'{k}'" for k in [*C.WORKSPACE_LIMITS, "other"])}][event_id % 8 + 1] AS kind, (event_id * 7) % 101 AS priority FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY priority DESC, event_id) AS rank FROM i)
+SELECT * FROM r WHERE rank <= CASE kind {" ".join(f"WHEN '{k}' THEN {n}" for k, n in C.WORKSPACE_LIMITS.items())} ELSE 0 END"""
+
+
+def narrative_self(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return P.narrative(e.select("event_type", (F.col("event_id") % 300).alias("subject"), "user_id"), "event_type", "subject", "user_id")
+
+
+NARRATIVE = "SELECT event_type, event_id % 300 AS subject, count(DISTINCT user_id) AS sessions, count(DISTINCT user_id) >= 2 AS recurs FROM events GROUP BY ALL"
+
+
+def cognitive_budget(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    stage = F.element_at(F.array(*map(F.lit, C.BUDGET_SPLIT)), (F.col("event_id") % 7 + 1).cast("int"))
+    return e.select("event_id", F.coalesce(S.cognitive_budget(F.col("event_id") % 6, stage), F.lit(-1)).alias("percent"))
+
+
+COGNITIVE_BUDGET = f"""SELECT event_id, CASE WHEN event_id % 6 > 4 THEN -1 ELSE ([{", ".join(str(list(v)) for v in C.BUDGET_SPLIT.values())}])[event_id % 7 + 1][event_id % 6 + 1] END AS percent FROM events"""
+
+
+def edge_terms(spark, sf_dir):
+    """Initial weight and independence by situation, and content that is filed as an observation but isn't one."""
+    i = F.col("event_id")
+    def pick(names, n):
+        return F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))
+
+    status = pick(C.EPISTEMIC, 7)
+    return _read(spark, sf_dir, "events").select("event_id", S.lookup(pick(C.INITIAL_WEIGHT, 6), C.INITIAL_WEIGHT).alias("initial"), S.lookup(pick(C.INDEPENDENCE, 5), C.INDEPENDENCE).alias("independence"), S.misfiled(status, F.when(i % 3 == 0, "observed").otherwise("inferred")).alias("misfiled"))
+
+
+EDGE_TERMS = f"""SELECT event_id, {list(C.INITIAL_WEIGHT.values())}[event_id % 6 + 1]::DOUBLE AS initial, {list(C.INDEPENDENCE.values())}[event_id % 5 + 1]::DOUBLE AS independence,
+event_id % 3 = 0 AND event_id % 7 <> 0 AS misfiled FROM events"""
+
+
+def resume_state(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    memory = L.merge_deltas(e.select(F.when(F.col("event_id") % 2 == 0, "focus").otherwise("next_action").alias("key"), F.col("props").alias("value"), "ts", "event_id"), ["key"], F.struct("ts", "event_id"), "value")
+    return L.resume_state(e, memory, ["user_id"], F.struct("ts", "event_id"), "event_type")
+
+
+RESUME_STATE = """WITH m AS (SELECT arg_max(props, (ts, event_id)) FILTER (event_id % 2 = 0) AS focus, arg_max(props, (ts, event_id)) FILTER (event_id % 2 = 1) AS next_action FROM events),
+r AS (SELECT user_id, count(*) AS event_count, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY user_id) SELECT r.*, m.* FROM r, m"""
+
 LEDGER = {
+    "assembly_nodes": (assembly_nodes, ASSEMBLY),
+    "workspace_limits": (workspace_limits, WORKSPACE),
+    "narrative_self": (narrative_self, NARRATIVE),
+    "cognitive_budget": (cognitive_budget, COGNITIVE_BUDGET),
+    "edge_terms": (edge_terms, EDGE_TERMS),
+    "resume_state": (resume_state, RESUME_STATE),
     "activation_levels": (activation_levels, ACTIVATION_LEVELS),
     "progressive_retrieve": (progressive_retrieve, PROGRESSIVE),
     "retrieval_quotas": (retrieval_quotas, QUOTAS),

@@ -87,26 +87,32 @@ def dashboard_fields(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(p)).select(F.regexp_extract("line", p, 1).alias("field"), F.regexp_extract("line", p, 2).alias("value"))
 
 
-def log_entries(lines: DataFrame) -> DataFrame:
-    """(line_no, date, label, text) of '* **Label**: text' lines under their '## date' heading."""
-    date = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 100))), ignorenulls=True).over(W.orderBy("line_no"))
+def log_entries(lines: DataFrame, *by: str) -> DataFrame:
+    """(by..., line_no, date, label, text) of '* **Label**: text' lines under their '## date' heading, for each log (by)."""
+    date = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 100))), ignorenulls=True).over(W.partitionBy(*by).orderBy("line_no"))
     p = r"^\*\s*\*\*([^*]+)\*\*:\s*(.*)$"
-    return lines.withColumn("date", date).where(F.col("line").rlike(p)).select("line_no", "date", F.regexp_extract("line", p, 1).alias("label"), F.regexp_extract("line", p, 2).alias("text"))
+    return lines.withColumn("date", date).where(F.col("line").rlike(p)).select(*by, "line_no", "date", F.regexp_extract("line", p, 1).alias("label"), F.regexp_extract("line", p, 2).alias("text"))
 
 
 def directory_index(files: DataFrame, folder: str = "") -> DataFrame:
     """(path, index): the folder's own index.md, else INDEX.md, else a listing of its entries by name."""
     prefix = f"{folder.strip('/')}/" if folder else ""
     inside = files.where(F.col("path").startswith(prefix)).select(F.substring("path", len(prefix) + 1, 10_000).alias("rest"), "text")
-    own = inside.agg(F.max(F.when(F.col("rest") == "index.md", F.col("text"))).alias("lower"), F.max(F.when(F.col("rest") == "INDEX.md", F.col("text"))).alias("upper"))
     parts = F.split("rest", "/")
     is_dir = F.size(parts) > 1
     fn = F.element_at(parts, 1)
     about = F.coalesce(T.frontmatter(F.col("text"))["description"], F.lit(""))
     line = F.when(is_dir, F.concat(F.lit("* "), fn, F.lit("/ - directory"))).otherwise(F.concat(F.lit("* ["), fn, F.lit("]("), fn, F.lit(") - "), about))
-    listing = inside.where(~fn.startswith(".")).groupBy(fn.alias("fn")).agg(F.min(line).alias("line")).agg(F.array_sort(F.collect_list(F.struct("fn", "line"))).alias("l"))
+    entries = inside.groupBy(fn.alias("fn")).agg(F.min(line).alias("line"), F.max(F.when(F.col("rest") == "index.md", F.col("text"))).alias("lower"), F.max(F.when(F.col("rest") == "INDEX.md", F.col("text"))).alias("upper"))
+    shown = F.collect_list(F.when(~F.col("fn").startswith("."), F.struct("fn", "line")))
+    whole = entries.agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"), F.array_sort(shown).alias("l"))
     made = F.concat_ws("\n", F.lit(f"# Index: {folder or '/'}"), F.transform("l", lambda x: x["line"]))
-    return own.crossJoin(F.broadcast(listing)).select(F.lit(folder or "/").alias("path"), F.coalesce("lower", "upper", made).alias("index"))  # one row by one row
+    return whole.select(F.lit(folder or "/").alias("path"), F.coalesce("lower", "upper", made).alias("index"))
+
+
+def point_read(files: DataFrame, path: str) -> DataFrame:
+    """(text) of one file, '' where it isn't there: dashboard, index and log reads."""
+    return files.where(F.col("path") == path).agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
 
 
 def read_events(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
