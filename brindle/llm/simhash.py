@@ -206,8 +206,10 @@ def links(fps: DataFrame, n: int, reach: int = 3, blocks: int | None = None) ->
         if homes and held is None:
             yield out(own())
 
-    copies = fps.select("fp").mapInArrow(replicate, "anchor int, visitor byte, fp long")
-    met = copies.repartition(partitions(fps.sparkSession), "anchor").sortWithinPartitions("anchor", "visitor")
+    n_tasks = partitions(fps.sparkSession)
+    # a file of fingerprints is small but each is sent many times: deal them out first
+    copies = fps.select("fp").repartition(n_tasks, "fp").mapInArrow(replicate, "anchor int, visitor byte, fp long")
+    met = copies.repartition(n_tasks, "anchor").sortWithinPartitions("anchor", "visitor")
     return met.mapInArrow(compare, "a long, b long")
 
 
