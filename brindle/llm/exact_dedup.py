@@ -9,7 +9,7 @@ A hit (a digest with more than one document) is checked on full bytes: the small
 the digest must be the same string. Digests that fail it are grouped by (digest, full text) instead.
 
 Defined results: a null text counts as empty; empty texts equal each other; ties in doc_id and repeated rows count as
-further copies, and of rows that share the smallest doc_id each is marked kept; an empty table gives an empty result.
+further copies, and of rows that share the smallest doc_id each is marked kept; a row without doc_id counts as a copy but stays; an empty table gives an empty result.
 DataFrame operations only.
 """
 
@@ -37,7 +37,7 @@ def digests(docs: DataFrame, digest=sha256_text) -> DataFrame:
 
 def stream_state(stream: DataFrame) -> DataFrame:
     """Streaming aggregate of (doc_id, digest, locator) rows: keep_id, locator and group_size so far of each digest."""
-    first = F.min(F.struct("doc_id", "locator"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "locator")))
     return stream.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.locator").alias("locator"), "group_size")
 
 
@@ -64,7 +64,7 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str, sink:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     seen = spark.read.schema("digest string, keep_id long, locator string, group_size long, batch int").parquet(sink)
-    first = F.min(F.struct("keep_id", "locator"))
+    first = F.min(F.when(F.col("keep_id").isNotNull(), F.struct("keep_id", "locator")))
     return seen.groupBy("digest").agg(first.alias("first"), F.max("group_size").alias("group_size")).select("digest", F.col("first.keep_id").alias("keep_id"), F.col("first.locator").alias("locator"), "group_size")
 
 
@@ -93,7 +93,7 @@ def groups(docs: DataFrame, digest=sha256_text) -> DataFrame:
     marked = table_.select("doc_id", "digest").join(state.select("digest", "keep_id", "group_size"), "digest")
     if not failed.isEmpty():
         marked = marked.join(failed.select("digest"), "digest", "left_anti").unionByName(by_text(docs, failed, digest))
-    return marked.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
+    return marked.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"), "digest")
 
 
 def check_hits(docs: DataFrame, state: DataFrame, digest=sha256_text) -> DataFrame:
@@ -110,7 +110,7 @@ def check_hits(docs: DataFrame, state: DataFrame, digest=sha256_text) -> DataFra
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
     hits = hits.select("digest", F.explode(salts).alias("salt"))
     text = normalised(docs["text"])
-    rows = docs.select(digest(text).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("salt"), text.alias("text"))
+    rows = docs.select(digest(text).alias("digest"), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(n)).cast("int").alias("salt"), text.alias("text"))
     rows = rows.join(F.broadcast(hot), "digest", "left").select("digest", F.when(F.col("hot"), F.col("salt")).otherwise(0).alias("salt"), "text")
     ends = rows.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     whole = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -127,7 +127,7 @@ def by_text(docs: DataFrame, failed: DataFrame, digest=sha256_text) -> DataFrame
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    return docs.join(groups(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.join(groups(docs).where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ gathered in one task, however large.
 
 Defined results: tokens are words; a null text counts as empty; null domain, language or source is the node ''; a node
 without a weight has weight 1, a weight of 0 excludes it. A document of no tokens is taken where its place is in the
-prefix. Rows that repeat a doc_id stand next to each other in an epoch's order. An empty table gives an empty result.
+prefix. Rows that repeat a doc_id, or lack one, stand next to each other in an epoch's order. An empty table gives an empty result.
 DataFrame operations only.
 """
 
@@ -132,8 +132,8 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
 def select(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The rows of docs that the mix takes, with all their columns, as often as it takes them."""
     found, _ = mix(docs, config)
-    taken = found.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(f"{MINE}copies"))
-    out = docs.join(taken, "doc_id")
+    taken = found.where("copies > 0").groupBy(F.col("doc_id").alias(f"{MINE}id")).agg(F.max("copies").alias(f"{MINE}copies"))
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken[f"{MINE}id"]))
     if config.max_epochs > 1:
         out = out.withColumn(f"{MINE}n", F.explode(F.sequence(F.lit(1), F.col(f"{MINE}copies"))))
     return out.select(*docs.columns)

@@ -15,7 +15,7 @@ which adaptive execution splits. Shuffle files go after each written step.
 
 Defined results: words are maximal runs of other than ASCII white space; a null text counts as empty: no words, nothing
 removed. A text of fewer words than a window has no windows. doc_id identifies a text; a row that stands there twice
-repeats all its windows. An empty table gives an empty result.
+repeats all its windows, and one without doc_id is compared with nothing and loses nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         ids, parts = [], []
         for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
             p = paths(_words(text), window, kmer)
-            if p is not None:
+            if p is not None and doc_id is not None:
                 ids.append(np.full(len(p[0]), doc_id, np.int64))
                 parts.append(p)
         if not ids:

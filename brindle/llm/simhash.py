@@ -13,7 +13,7 @@ homes stay near 2^17. An anchor holds its homes in memory (8 bytes each) and str
 a spanning forest, at most one per visitor and join of two trees, never all pairs of a group.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero, linked like any other; repeated
-rows fall in one component; component_id is the smallest doc_id reachable. An empty table gives an empty result.
+rows fall in one component; component_id is the smallest doc_id reachable; a row without doc_id is linked but never dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -227,8 +227,8 @@ def near_groups(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the document with the smallest doc_id."""
-    stays = near_groups(docs, words, reach).where("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi")
+    gone = near_groups(docs, words, reach).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

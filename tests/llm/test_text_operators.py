@@ -331,3 +331,18 @@ def test_describe(spark):
     df = spark.createDataFrame([(1, bytearray(M.store(b"a" * 192))), (2, None)], "media_id long, media binary")
     got = {r.media_id: r for r in M.describe(df).collect()}
     assert got[1].frames == 1 and got[1].seconds == 1152 / 48000 and got[2].frames == 0
+
+
+def test_rows_without_id(spark):
+    rows = [(None, run(40)), (None, run(40)), (1, run(40)), (2, run(60, "x")), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("src1")})
+    assert RS.without_repeats(d).count() == X.groups(d).count() == SH.near_groups(d).count() == 5
+    assert X.keep_first(d).where("doc_id is null").count() == 3 and SH.keep_one(d).where("doc_id is null").count() == 3
+    assert {r.keep_id for r in X.groups(d).where("group_size = 3").collect()} == {1}
+    assert len(PK.pack(d).select("doc_id").distinct().collect()) == 3
+    assert len(M.read_back(M.stored(d)).collect()) == 5
+    model = TX.ToxicityModel(-7.0)
+    assert TX.score(d, model).count() == TX.reject(d, model).count() == 5
+    from brindle.llm import mixing as MX
+
+    assert MX.mix(d)[0].count() == 5 and MX.select(d).columns == d.columns
