@@ -50,6 +50,8 @@ _BAD = frozenset("nav header footer aside form menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|sidebar|side|menu|nav\w*|breadcrumb\w*|header|footer|foot|comment\w*|disqus\w*|reply|replies|respond|share|social|related|recommend\w*|widget\w*|login|signup|toolbar|skip\w*|hidden|alert|gdpr|copyright)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body)(?:$|[\s_-])", re.I)
+#: Within a main section a header holds its title.
+_TITLES = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HEADING = re.compile(r"h[1-6]$")
 _CLOSES_P = _BLOCK - {"body", "html"}
@@ -61,7 +63,7 @@ class Block:
     linked: int
     tag: str
     bad: bool
-    main: int  # number of the innermost main section, 0 for none
+    main: int  # number of the innermost main section, 0 for none; negative for one that isn't an article element
     label: str = ""
 
 
@@ -125,19 +127,23 @@ def blocks(page: str) -> list[Block]:
             bad, main = (open_[-1][1], open_[-1][2]) if open_ else (False, 0)
             attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
             names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".strip()
-            inside_main = main > 0
+            inside_main = main != 0
             if name in _MAIN or names and not main and _MAIN_NAME.search(names) and name in ("div", "section", "td"):
                 mains += 1
-                main = mains
+                main = mains if name == "article" else -mains
             # an article's own header holds its title
             if name == "header" and inside_main:
                 pass
             elif name in _BAD or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
                 bad = True
-            elif names and name not in ("body", "html", "main") and _BAD_NAME.search(names) and not (name == "article" and not re.search(r"comment|reply|related|promo|ad(?:s|vert)?\b", names, re.I)):
+            elif names and name not in ("body", "html", "main") and _BAD_NAME.search(_TITLES.sub(" ", names) if inside_main else names) and not (name == "article" and not re.search(r"comment|reply|related|promo|ad(?:s|vert)?\b", names, re.I)):
                 bad = True
             open_.append((name, bad, main))
     close_block()
+    if any(b.main > 0 for b in out):
+        # a page with article elements has no other main sections
+        for b in out:
+            b.main = max(b.main, 0)
     return out
 
 
