@@ -17,10 +17,10 @@ HEAD = "---\ntype: {t}\ndescription: {d}\ntags: [{g}]\ntimestamp: 2024-01-02\n--
 
 
 @pytest.fixture
-def vault(tmp_path):
+def root(tmp_path):
     files = {
         "Dashboard.md": "# Dash\n- **Updated:** never\n- **Status:** idle $1\n",
-        "index.md": "---\nokf_version: 1\n---\n* [a](a) - b\n",
+        "index.md": "---\nversion: 1\n---\n* [a](a) - b\n",
         "log.md": "# Log\n## 2024-01-02\n* **Update**: two\n## 2024-01-01\n* **Creation**: one\n",
         "Knowledge/sample.md": HEAD.format(t="Knowledge", d="plain", g="x") + "about a sprocket\n",
         "Skills/example-skill.md": HEAD.format(t="Skill", d="makes a sprocket", g="sprocket, gear") + "## Use\nsteps\n",
@@ -35,8 +35,8 @@ def vault(tmp_path):
     return str(tmp_path)
 
 
-def test_bundle(spark, vault):
-    files = bundle.read_files(spark, vault)
+def test_bundle(spark, root):
+    files = bundle.read_files(spark, root)
     assert files.count() == 8
     c = bundle.concepts(files)
     assert sorted(r.concept_id for r in c.collect()) == ["Knowledge/sample.md", "Lessons/demo/problems.md", "Skills/example-skill.md"]
@@ -53,7 +53,7 @@ def test_bundle(spark, vault):
     existing = spark.createDataFrame([("demo/problems",)], "target string")
     assert [(r.prompt_id, r.score) for r in R.matched_lessons(prompts, index, existing).collect()] == [("p", 2)]
     assert bundle.directory_index(files, "Skills").first()["index"] == "# Index: Skills\n* [example-skill.md](example-skill.md) - makes a sprocket"
-    assert bundle.directory_index(files).first()["index"].startswith("---\nokf_version")
+    assert bundle.directory_index(files).first()["index"].startswith("---\nversion")
     assert {r.field: r.value for r in bundle.dashboard_fields(bundle.numbered_lines(files.where("path = 'Dashboard.md'"))).collect()}["Status"] == "idle $1"
     log = bundle.log_entries(bundle.numbered_lines(files.where("path = 'log.md'"))).orderBy("line_no").collect()
     assert [(r.date, r.label, r.text) for r in log] == [("2024-01-02", "Update", "two"), ("2024-01-01", "Creation", "one")]
@@ -161,8 +161,8 @@ def _author(df, name="ann"):
     return df.withColumns({"author_name": F.lit(name), "author_email": F.lit("a@example.com")})
 
 
-def test_proposals(spark, vault):
-    files = bundle.read_files(spark, vault)
+def test_proposals(spark, root):
+    files = bundle.read_files(spark, root)
     c = spark.createDataFrame([("demo", "new", "kind: problem\nbe careful", ["k1", "k2"]), ("none", "x", "y", ["k"]), ("demo", "leak", "password: abc", ["k"])], "area string, slug string, content string, keywords array<string>")
     ok, bad = W.new_lesson(_author(c), files)
     assert [(r.path, r.append, r.index_line) for r in ok.collect()] == [("Lessons/demo/problems.md", "\n## new\nbe careful\n", "- [[demo/problems]] — k1, k2")]
