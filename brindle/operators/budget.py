@@ -25,13 +25,13 @@ def assemble(parts: DataFrame, by: list[str], order: str, text: str, cap: int =
     return fit.groupBy(*by).agg(joined.alias("context"))
 
 
-def prompt_parts(prompts: DataFrame, dashboard: str, lessons: DataFrame, concepts: DataFrame, mode: str = "", title: str = "Dashboard") -> DataFrame:
-    """(prompt_id, ordinal, part) of the chosen mode: dashboard first, then lessons and concepts by rank.
+def prompt_parts(prompts: DataFrame, dashboard: str, lessons: DataFrame, concepts: DataFrame, mode: str = "", title: str = "Dashboard", rules: str = "") -> DataFrame:
+    """(prompt_id, ordinal, part) of the chosen mode: rules if given, dashboard, then lessons and concepts by rank.
 
     lessons: (prompt_id, target, rank, chunk); concepts: (prompt_id, path, rank, text).
     """
     kinds = MODES[mode.strip().lower()]
-    out = []
+    out = [prompts.select("prompt_id", F.lit(-1).alias("ordinal"), F.lit(rules).alias("part"))] if rules else []
     if "static" in kinds:
         out.append(prompts.select("prompt_id", F.lit(0).alias("ordinal"), F.lit(f"--- {title} ---\n{dashboard}").alias("part")))
     if "retrieval" in kinds:

@@ -84,6 +84,20 @@ def test_budget(spark, texts, cap):
     assert [r.context for r in got] == (["\n\n".join(out)] if out else [])
 
 
+def test_prompt_parts(spark):
+    prompts = spark.createDataFrame([("p",)], "prompt_id string")
+    lessons = spark.createDataFrame([("p", "a/b", 1, "chunk"), ("p", "a/c", 2, "")], "prompt_id string, target string, rank int, chunk string")
+    concepts = spark.createDataFrame([("p", "x.md", 1, "y" * 3000)], "prompt_id string, path string, rank int, text string")
+
+    def context(mode, rules=""):
+        return B.assemble(B.prompt_parts(prompts, "dash", lessons, concepts, mode, rules=rules), ["prompt_id"], "ordinal", "part").first().context
+
+    assert context("static", "be kind") == "be kind\n\n--- Dashboard ---\ndash"
+    got = context("retrieval")
+    assert got.startswith("--- Lesson: a/b ---\nchunk\n\n--- Concept: x.md ---\nyyy") and got.count("y") == 2500
+    assert context("").startswith("--- Dashboard ---\ndash\n\n--- Lesson: a/b ---")
+
+
 def fold(w, updates):
     up = down = 0
     for r, e, c, i in updates:
