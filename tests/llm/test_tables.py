@@ -52,6 +52,18 @@ def test_mix_edge_cases(spark):
     assert MX.mix(d.limit(0))[0].count() == 0
 
 
+def test_pipeline_mix_on_a_hot_source(spark):
+    """Forum brings half of all tokens: the shares that the README states, and no row twice."""
+    import corpus_pipeline as P
+
+    rows = [(i, "w " * 10, "en", ["src0", "src2", "src1", "src2"][i % 4]) for i in range(4800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    took = P.mix_sources(spark, d, DATA)
+    n = {r.source: r["count"] for r in took.groupBy("source").count().collect()}
+    assert took.select("doc_id").distinct().count() == took.count() == sum(n.values()) == 4320
+    assert {k: round(100 * v / 4320) for k, v in n.items()} == {"src0": 28, "src1": 28, "src2": 44}
+
+
 def test_url_filters(spark):
     urls = ["http://a.com/x", "https://EXAMPLE.com/en/1", "http://www.example.com/en/2#f", "ftp://q.net/es/", "http://z.org/p?ref=1", "https://www.z.org/p/", None, "no scheme", "http://m.b.net/fr/1?utm_source=q", "x://n.net/de/1", "http://r.org/1", "http://s.org/2", "://", "http://t.org"]
     html = {10: '<link href="http://q.net/es/" rel=canonical>', 11: "<META http-equiv='refresh' content='0; url=/3'>", 13: '<link rel="canonical" href="//a.com/x">'}
