@@ -6,6 +6,8 @@ short and near-good) by length, link density and stop-word density; menus, heade
 adverts and comment sections are bad by where they stand. Pass two lets the undecided blocks inherit: near-good and
 short blocks, headings included, take the label of their nearest decided neighbours, first those within the same main
 section, then on the page; where the two sides differ, a near-good block and a block inside a main section are good.
+An article or main element that is not itself bad clears what it inherits from a form or a wrapper named after the
+page's layout ('has-sidebar'); where the name is the bare word ('sidebar'), it does so only on a page without other main text.
 Stop words are a parameter.
 
 Defined results: null html counts as empty; an empty page, or one without good blocks, gives the empty string.
@@ -50,6 +52,10 @@ _BAD = frozenset("nav header footer aside form menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|sidebar|side|menu|nav\w*|breadcrumb\w*|header|footer|foot|comment\w*|disqus\w*|reply|replies|respond|share|social|related|recommend\w*|widget\w*|login|signup|toolbar|skip\w*|hidden|alert|gdpr|copyright)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body)(?:$|[\s_-])", re.I)
+#: Names of what a wrapper holds, not of a layout: articles in it are bad as well.
+_BAD_KIND = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|comment\w*|disqus\w*|reply|replies|respond|related|recommend\w*|hidden|gdpr)(?:$|[\s_-])", re.I)
+#: How an element is bad: an article in it clears FORM (or a layout's name), and BARE where the page has no other main text.
+_FORM, _BARE, _HARD = 1, 2, 3
 #: Within a main section a header holds its title.
 _TITLES = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -65,12 +71,13 @@ class Block:
     bad: bool
     main: int  # number of the innermost main section, 0 for none; negative for one that isn't an article element
     label: str = ""
+    lifted: bool = False  # stands in an article that cleared a wrapper with a bare name
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # an open element: (tag, whether it is bad by where it stands, main section)
-    open_: list[tuple[str, bool, int]] = []
+    # an open element: (tag, how it is bad by where it stands (0: not), main section, whether it is lifted)
+    open_: list[tuple[str, int, int, bool]] = []
     parts: list[tuple[str, bool]] = []
     links, mains = 0, 0
 
@@ -79,9 +86,9 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(t for t, k in parts if k)).split()))
-                tag = next((t for t, _, _ in reversed(open_) if t in _BLOCK), "")
-                bad, main = (open_[-1][1], open_[-1][2]) if open_ else (False, 0)
-                out.append(Block(text, linked, tag, bad, main))
+                tag = next((x[0] for x in reversed(open_) if x[0] in _BLOCK), "")
+                bad, main, lifted = open_[-1][1:] if open_ else (0, 0, False)
+                out.append(Block(text, linked, tag, bad > 0, main, lifted=lifted))
             parts.clear()
 
     at, n = 0, len(page)
@@ -124,24 +131,31 @@ def blocks(page: str) -> list[Block]:
                 open_.pop()
             if name in ("li", "dd", "dt", "td", "th", "tr", "option") and open_ and open_[-1][0] == name:
                 open_.pop()
-            bad, main = (open_[-1][1], open_[-1][2]) if open_ else (False, 0)
+            bad, main, lifted = open_[-1][1:] if open_ else (0, 0, False)
             attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
             names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".strip()
             inside_main = main != 0
             if name in _MAIN or names and not main and _MAIN_NAME.search(names) and name in ("div", "section", "td"):
                 mains += 1
                 main = mains if name == "article" else -mains
+            if name in _MAIN and bad in (_FORM, _BARE):
+                bad, lifted = 0, lifted or bad == _BARE
             # an article's own header holds its title
             if name == "header" and inside_main:
                 pass
             elif name in _BAD or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-                bad = True
+                plain = name == "form" and not ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")))
+                bad = max(bad, _FORM if plain and not _BAD_KIND.search(names) else _HARD)
             elif names and name not in ("body", "html", "main") and _BAD_NAME.search(_TITLES.sub(" ", names) if inside_main else names) and not (name == "article" and not re.search(r"comment|reply|related|promo|ad(?:s|vert)?\b", names, re.I)):
-                bad = True
-            open_.append((name, bad, main))
+                bare = any(_BAD_NAME.fullmatch(x) for x in names.split())
+                bad = max(bad, _HARD if name == "article" or _BAD_KIND.search(names) else _BARE if bare else _FORM)
+            open_.append((name, bad, main, lifted))
     close_block()
-    if any(b.main > 0 for b in out):
-        # a page with article elements has no other main sections
+    if any(b.main and not b.bad and not b.lifted for b in out):
+        for b in out:
+            b.bad |= b.lifted
+    if any(b.main > 0 and not b.bad for b in out):
+        # a page with text in article elements has no other main sections
         for b in out:
             b.main = max(b.main, 0)
     return out

@@ -273,6 +273,33 @@ def test_html():
     assert H.main_text(f"<body><div><a href=x>one two</a></div>{plain}<p>Short one.</p>{plain}</body>").count("\n") == 2
 
 
+ARTICLE = "<article><h1>Title</h1><p>" + "The text of the page is in a block that is long and it is for all to read. " * 4 + "</p><p>Short one.</p></article>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class=no-sidebar", "div id=content-sidebar", "div class=sidebar", "div class='page social'", "div class=with-menu", "section class='x header-fixed'", "form action=x", "form id=aspnet class=has-widget"])
+def test_html_layout_wrappers(wrapper, tag):
+    text = ARTICLE.replace("article", tag)
+    page = f"<body><{wrapper}><p>Not in it.</p>{text}<div class=menu>Menu</div></{wrapper.split()[0]}></body>"
+    assert H.main_text(page) == H.main_text(f"<body>{text}</body>") and H.main_text(page).startswith("Title\n")
+
+
+def test_html_wrappers_that_stay_bad():
+    alone = H.main_text(ARTICLE)
+    card = ARTICLE.replace("Title", "Card")
+    for wrapper in ("div class=sidebar", "div class=comments", "div id=related-posts", "aside", "nav", "div hidden", "form style='display:none'"):
+        assert H.main_text(f"<{wrapper}>{card}</{wrapper.split()[0]}>{ARTICLE}") == alone
+    for wrapper in ("div class='comments has-sidebar'", "nav", "form hidden"):
+        assert H.main_text(f"<{wrapper}>{card}</{wrapper.split()[0]}>") == ""
+
+
+def test_html_comment_articles_leave_main():
+    body = ARTICLE[len("<article>") : -len("</article>")]
+    said = "<section class=comments><article><p>" + "It is a nice one and the best of the ones that I have read. " * 4 + "</p></article></section>"
+    for main in ("main", "div class=content"):
+        assert H.main_text(f"<{main}>{body}{said}</{main.split()[0]}>") == H.main_text(f"<{main}>{body}</{main.split()[0]}>") == H.main_text(ARTICLE)
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (3, "v", "<p>" * 2000 + "x", 7)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in H.extract(df).collect()}
