@@ -10,7 +10,7 @@ all that visit; every link is found at the home of either end.
 Cost: copies go as one fingerprint, then each is replicated a number of times that depends on the number of blocks only
 (60 on average for 10 blocks and t = 3). The number of blocks grows with the logarithm of the input, so that an anchor's
 homes stay near 2^17. An anchor holds its homes in memory (8 bytes each) and streams its visitors; it gives the edges of
-a spanning forest, at most one per visitor and join of two trees, never all pairs of a group.
+a spanning forest, at most one per visitor and two per join of two trees, never all pairs of a group.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero, linked like any other; repeated
 rows fall in one component; component_id is the smallest doc_id reachable; a row without doc_id is linked but never dropped. An empty table gives an empty result.
@@ -141,9 +141,9 @@ class _Anchor:
             elif (own := self._find(own)) != r:
                 self.root[max(own, r)] = min(own, r)
                 moved = True
+                # both: links of this call may have moved either root since the edge to it went out
                 yield part[x], self.homes[max(own, r)]
-                if not fresh:
-                    yield part[x], self.homes[min(own, r)]
+                yield part[x], self.homes[min(own, r)]
         if moved:
             while True:
                 up = self.root[self.root]

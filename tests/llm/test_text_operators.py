@@ -116,6 +116,16 @@ def test_simhash_links(spark, blocks):
     assert held.order is not None and trees(fps, [(int(x), int(y)) for x, y in held.links(a, False)]) == want
 
 
+def test_simhash_bridge_to_a_merged_tree():
+    """Visitor A joins homes 0 and 2, then B joins homes 1 and 2: B's edge must reach the tree of home 0."""
+    homes = np.array([0b11111, 0b11111 << 10, 0], np.uint64)
+    visitors = np.array([0b11, 0b11 << 10], np.uint64)
+    held = SH._Anchor(homes, 3)
+    edges = [*held.links(homes, False), *held.links(visitors, True)]
+    every = [int(x) for x in (*homes, *visitors)]
+    assert trees(every, [(int(x), int(y)) for x, y in edges]) == {frozenset(every)}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)] + [(300, 300 + i) for i in range(1, 30)]
     got = {}
