@@ -3,8 +3,8 @@
 parse() reads any MPEG-1/2/2.5 Layer I-III stream held in a binary column: it skips an ID3v2 tag, finds the first frame
 header that is followed by another one (or by the end), steps from frame to frame by the computed length, and
 resynchronises at the next such header where junk lies between. A Xing/Info or VBRI table gives the declared frame and
-byte counts and the seek table; CRC-16 of protected frames is verified; an ID3v1 tag ends the stream. Durations are
-exact: samples of each frame over the sampling rate, summed as integers.
+byte counts and the seek table; CRC-16 of protected Layer III frames is verified, protected Layer I and II frames are
+counted as unchecked; an ID3v1 tag ends the stream. Durations are exact: samples of each frame over the sampling rate, summed as integers.
 
 store() writes bytes losslessly as such a stream: an ID3v2 tag, a table frame, then protected Layer III frames of
 48 kHz mono whose side information declares no main data, so a player hears silence and the ancillary part of each
@@ -113,6 +113,7 @@ class Stream:
     duration: Fraction = Fraction(0)
     crc_ok: int = 0
     crc_bad: int = 0
+    crc_unchecked: int = 0
     resyncs: int = 0
     skipped: int = 0
     kbps_low: int = 0
@@ -188,7 +189,9 @@ def parse(data: bytes | None, keep_body: bool = False) -> Stream:
             synced, at = False, skip
             continue
         frame = data[at : at + h.length]
-        if h.protected and h.layer == 3:
+        if h.protected and h.layer != 3:
+            out.crc_unchecked += 1
+        elif h.protected:
             ok = crc16(frame[2:4] + frame[6 : 6 + h.side]) == int.from_bytes(frame[4:6], "big")
             out.crc_ok += ok
             out.crc_bad += not ok
@@ -258,11 +261,11 @@ def describe(docs: DataFrame, id_col: str = "media_id", data: str = "media") ->
 
     def run(cols):
         got = [parse(x) for x in cols[data]]
-        names = ("frames", "samples", "crc_ok", "crc_bad", "resyncs", "skipped", "kbps_low", "kbps_high", "rate", "layer", "declared_frames", "declared_bytes", "toc", "offsets")
+        names = ("frames", "samples", "crc_ok", "crc_bad", "crc_unchecked", "resyncs", "skipped", "kbps_low", "kbps_high", "rate", "layer", "declared_frames", "declared_bytes", "toc", "offsets")
         out = {k: [getattr(g, k) for g in got] for k in names}
-        return out | {"media_id": cols[id_col], "toc": [list(g.toc) for g in got], "tags": [list(g.tags.items()) for g in got], "seconds": [float(g.duration) for g in got]}
+        return out | {"media_id": cols[id_col], "toc": [list(g.toc) for g in got], "tags": [list(g.tags.items()) for g in got], "duration_num": [g.duration.numerator for g in got], "duration_den": [g.duration.denominator for g in got], "seconds": [float(g.duration) for g in got]}
 
-    schema = "media_id long, frames long, samples long, crc_ok long, crc_bad long, resyncs long, skipped long, kbps_low int, kbps_high int, rate int, layer int, declared_frames long, declared_bytes long, toc array<int>, offsets array<long>, tags map<string,string>, seconds double"
+    schema = "media_id long, frames long, samples long, crc_ok long, crc_bad long, crc_unchecked long, resyncs long, skipped long, kbps_low int, kbps_high int, rate int, layer int, declared_frames long, declared_bytes long, toc array<int>, offsets array<long>, tags map<string,string>, duration_num long, duration_den long, seconds double"
     return per_document(docs, [id_col, data], run, schema)
 
 
@@ -283,8 +286,8 @@ def read_back(media: DataFrame) -> DataFrame:
         rows = []
         for doc_id, n, data in zip(cols["doc_id"], cols["n_bytes"], cols["media"], strict=True):
             payload, f = load(data)
-            last = zlib.crc32(struct.pack("<4Q", *f.offsets[:1], f.offsets[len(f.offsets) // 2], f.offsets[-1], len(data)))
-            what = f"mpeg1-layer{f.layer} {f.rate}Hz {f.kbps_low}-{f.kbps_high}kbps frames={f.frames}/{f.declared_frames} samples={f.samples} duration={f.duration} crc_ok={f.crc_ok} crc_bad={f.crc_bad} resyncs={f.resyncs} skipped={f.skipped} seek_crc32={last:08x} body_crc32={zlib.crc32(payload):08x}"
+            last = zlib.crc32(struct.pack(f"<{len(f.offsets) + 1}Q", *f.offsets, len(data)))
+            what = f"mpeg1-layer{f.layer} {f.rate}Hz {f.kbps_low}-{f.kbps_high}kbps frames={f.frames}/{f.declared_frames} samples={f.samples} duration={f.duration} crc_ok={f.crc_ok} crc_bad={f.crc_bad} crc_unchecked={f.crc_unchecked} resyncs={f.resyncs} skipped={f.skipped} seek_crc32={last:08x} body_crc32={zlib.crc32(payload):08x}"
             rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), what))
         names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         return dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {}

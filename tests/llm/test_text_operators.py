@@ -370,6 +370,20 @@ def test_describe(spark):
     assert got[1].frames == 1 and got[1].seconds == 1152 / 48000 and got[2].frames == 0
 
 
+def test_describe_mixed_rates(spark):
+    layer2 = bytes((0xFF, 0xFC, 0x84, 0x00)) + bytes(380)
+    data = M.store(b"a" * 192) + layer2 + bytes((0xFF, 0xFD, 0x80, 0x00)) + bytes(413)
+    r = M.describe(spark.createDataFrame([(1, bytearray(data))], "media_id long, media binary")).first()
+    assert (r.frames, r.crc_ok, r.crc_bad, r.crc_unchecked) == (3, 2, 0, 1)
+    assert Fraction(r.duration_num, r.duration_den) == Fraction(2 * 1152, 48000) + Fraction(1152, 44100)
+
+
+def test_seek_digest_covers_all_offsets(spark):
+    r = M.read_back(M.stored(docs(spark, ["x" * 192 * 7]))).first()
+    offsets = M.parse(M.store(b"x" * 192 * 7)).offsets
+    assert f"seek_crc32={zlib.crc32(np.array([*offsets, r.media_bytes], '<u8').tobytes()):08x}" in r.feature
+
+
 def test_rows_without_id(spark):
     rows = [(None, run(40)), (None, run(40)), (1, run(40)), (2, run(60, "x")), (None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("src1")})
