@@ -4,7 +4,7 @@ parse() reads any MPEG-1/2/2.5 Layer I-III stream held in a binary column: it sk
 header that is followed by another one (or by the end), steps from frame to frame by the computed length, and
 resynchronises at the next such header where junk lies between. A Xing/Info or VBRI table gives the declared frame and
 byte counts and the seek table; CRC-16 of protected Layer III frames is verified, protected Layer I and II frames are
-counted as unchecked; an ID3v1 tag ends the stream. Durations are exact: samples of each frame over the sampling rate, summed as integers.
+counted as unchecked; an ID3v1 tag ends the stream where the frames end before it. Durations are exact: samples of each frame over the sampling rate, summed as integers.
 
 store() writes bytes losslessly as such a stream: an ID3v2 tag, a table frame, then protected Layer III frames of
 48 kHz mono whose side information declares no main data, so a player hears silence and the ancillary part of each
@@ -170,19 +170,21 @@ def parse(data: bytes | None, keep_body: bool = False) -> Stream:
     out = Stream()
     at, out.tags = _id3v2(data)
     end = len(data)
-    if data[-128:-125] == b"TAG" and end >= 128:
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                out.tags.setdefault(f"v1:{name}", text)
+    tag = end - 128 if data[-128:-125] == b"TAG" and len(data) >= 128 else None  # bytes that a frame may still claim
     synced, ticks, kind = False, {}, None
     while at + 4 <= end:
+        if at == tag:
+            end = tag
+            break
         h = header(data[at : at + 4])
-        # a frame in sync has its neighbours' version, layer and rate; any other must be followed by a header
-        same = h is not None and synced and (h.version, h.layer, h.rate) == kind
+        # a frame in sync has its neighbours' version, layer and rate; any other, and one that reaches into what may be
+        # a tag, must be followed by a header or end the stream
+        same = h is not None and synced and (h.version, h.layer, h.rate) == kind and not (tag and at + h.length > tag)
         if h is None or at + h.length > end or not same and not _followed(data, at + h.length, end):
             skip = data.find(b"\xff", at + 1, end)
             skip = end if skip < 0 else skip
+            if tag and at < tag < skip:
+                skip = tag
             out.skipped += skip - at
             if synced:
                 out.resyncs += 1
@@ -210,6 +212,10 @@ def parse(data: bytes | None, keep_body: bool = False) -> Stream:
                 out.body.append(frame[4 + 2 * h.protected + h.side :])
         synced, at, kind = True, at + h.length, (h.version, h.layer, h.rate)
     out.skipped += max(0, end - at)
+    if tag is not None and end == tag:
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
+            if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
+                out.tags.setdefault(f"v1:{name}", text)
     out.duration = sum((Fraction(n, rate) for rate, n in ticks.items()), Fraction(0))
     return out
 
@@ -244,8 +250,10 @@ def store(payload: bytes, title: str = "payload") -> bytes:
 
 
 def load(data: bytes) -> tuple[bytes, Stream]:
-    """(payload of a stream that store() has written, what parse() found)."""
+    """(payload of a stream that store() has written, what parse() found); an error if any frame is missing or damaged."""
     found = parse(data, keep_body=True)
+    if found.frames != found.declared_frames or len(data) != found.offsets[-1] + _FRAME or found.crc_bad or found.skipped or found.resyncs:
+        raise ValueError(f"{found.frames} of {found.declared_frames} frames, {found.crc_bad} bad checksums, {found.skipped} bytes skipped")
     return b"".join([b[:UNIT] for b in found.body]), found
 
 

@@ -397,3 +397,34 @@ def test_rows_without_id(spark):
     from brindle.llm import mixing as MX
 
     assert MX.mix(d)[0].count() == 5 and MX.select(d).columns == d.columns
+
+
+MARKS = [b"TAG", b"ID3\x03\0\0\0\0\0\x10", b"Xing", b"Info\0\0\0\x07", b"VBRI", b"APETAGEX", b"LYRICSBEGIN", b"\xff\xfa\x64\xc0", b"\xff\xfb\x90\x00", b"\xff" * 8]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+@pytest.mark.parametrize("frames", [1, 4])
+def test_mpeg_marks_in_the_payload(mark, frames):
+    for at in range(0, 192 * frames - len(mark) + 1):
+        payload = (b"x" * at + mark).ljust(192 * frames, b"y")
+        back, found = M.load(M.store(payload))
+        assert back == payload and found.frames == found.declared_frames == frames
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*MARKS, b"a", b"\0", b" ", M.store(b"z" * 192)]), max_size=40))
+def test_mpeg_payload_of_marks(parts):
+    raw = b"".join(parts)
+    payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+    assert M.load(M.store(payload))[0] == payload
+
+
+def test_mpeg_load_refuses_damage():
+    data = M.store(bytes(range(192)) * 4)
+    at = M.parse(data).offsets
+    for bad in (data[: at[3]], data[:-1], data[: at[1]] + data[at[2] :], data[: at[2]] + b"junk" + data[at[2] :], data + b"TAG".ljust(128, b"t")):
+        with pytest.raises(ValueError):
+            M.load(bad)
+    tagged = M.parse(data[:-50] + b"TAG" + b"cut".ljust(125, b"\0"))
+    assert (tagged.frames, tagged.skipped, tagged.tags["v1:title"]) == (3, 190, "cut")
+    assert M.parse(b"TAG".ljust(128, b"t")).frames == 0
