@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,14 +20,20 @@ MINE = "__brindle_"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: list[str] = []
+#: Folders of written steps: of each open scratch() the ones to delete at its end, and at the bottom those that stay.
+_written: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at or (at == "/tmp/checkpoints" and spark.sparkContext.master.startswith("local[")):
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder that goes with the process; any other session is an error, for its executors would each write to their own disk."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="brindle-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         at = "file://" + _local[0]
     return at.rstrip("/")
 
@@ -32,13 +42,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/brindle/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Steps written within are deleted at its end, but for those written with keep: these belong to what is around it."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _written.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what results of this process still read: call it when they are written."""
+    delete(spark, _written[0])
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     That cuts lineage: losing an executor later recomputes no step before this one.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _written[-2 if keep and len(_written) > 1 else -1].append(path)
     held = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # shuffle files of a step go when its result is written
     try:
@@ -61,9 +94,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_per_cla
     """(doc_id, text, y) of at most most_per_class training rows of each class, chosen by a hash of doc_id.
 
     The bound keeps the fit on the driver bounded at every size; scoring still covers every row. Null labels, null
-    texts and held-out rows are left out. Choosing ids first keeps the texts out of the sort.
+    texts, held-out rows and ids with labels of both classes are left out. Choosing ids first keeps the texts out of the sort.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).dropDuplicates(["doc_id"])
+    usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
+    known = usable.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("doc_id", "y")
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
