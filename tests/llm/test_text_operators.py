@@ -40,20 +40,70 @@ def run(n, *words):
 EDGE = [None, "", " \n\t ", "a", "a", "  a ", run(40), run(40), run(40, "tail"), run(35), "x y " * 100, "é\u00a0ß " + run(36), "long " * 30000]
 
 
+def spans_match(spark, rows, window=RS.WINDOW, **how):
+    """Results of rows (doc_id, text) against brute force, row by row."""
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "start": F.lit(2), "n": F.lit("x")})
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in RS.without_repeats(d, window, **how).collect())
+    assert got == sorted((-1 if i is None else i, *x) for (i, _), x in zip(rows, RS.brute_force([t for _, t in rows], window), strict=True))
+
+
 def test_repeated_spans_edge_cases(spark):
-    got = {r.doc_id: r for r in RS.without_repeats(docs(spark, EDGE)).collect()}
-    want = RS.brute_force(dict(enumerate(EDGE)))
-    assert {k: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for k, r in got.items()} == want
+    spans_match(spark, list(enumerate(EDGE)))
     assert RS.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeated_spans_of_rows_that_share_or_lack_an_id(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    spans_match(spark, [(1, run(200) + " " + shared), (1, "only two"), (2, "head " + shared + " tail"), (None, shared), (None, "x " + shared), (None, None), (3, run(10, shared)), (3, run(10, shared)), (3, "other")])
+
+
+def test_repeated_spans_thue_morse(spark):
+    """Words in the order that makes polynomial hashes modulo powers of two collide."""
+    tm = ["ab"[bin(i).count("1") % 2] for i in range(4096)]
+    spans_match(spark, [(0, " ".join(tm[:2048])), (1, " ".join(tm[2048:])), (2, " ".join(tm[100:700])), (3, "c " + " ".join(tm[5:60]))])
+
+
+@pytest.mark.parametrize("bits", [2])
+def test_repeated_spans_survive_weak_hashes(spark, bits):
+    """Hashes of a few bits collide; the words at the coordinates decide."""
+    rng = np.random.default_rng(bits)
+    part = [" ".join(f"v{x}" for x in rng.integers(0, 30, 50)) for _ in range(6)]
+    texts = [" ".join(part[k] for k in rng.integers(0, 6, 3)) + " " + " ".join(f"u{x}" for x in rng.integers(0, 40, 60)) for _ in range(25)]
+    spans_match(spark, list(enumerate(texts)), bits=bits)
+
+
 @SMALL
-@given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 30), st.booleans()), max_size=5), min_size=1, max_size=6))
-def test_repeated_spans_random(spark, plans):
+@given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 30), st.booleans()), max_size=5), min_size=1, max_size=6), st.sampled_from([3, 64]))
+def test_repeated_spans_random(spark, plans, bits):
     texts = [" ".join(" ".join(f"{k}_{i % 7 if loop else i}" for i in range(n)) for k, n, loop in plan) for plan in plans]
-    got = {r.doc_id: (r.n_words, r.n_removed) for r in RS.without_repeats(docs(spark, texts), 9).collect()}
-    want = {k: v[:2] for k, v in RS.brute_force(dict(enumerate(texts)), 9).items()}
-    assert got == want
+    spans_match(spark, list(enumerate(texts)), 9, bits=bits)
+
+
+def test_inner_steps_go(spark):
+    import glob
+
+    from brindle.llm import common
+
+    at = common.shared_dir(spark).removeprefix("file://") + "/brindle"
+    before = set(glob.glob(f"{at}/*"))
+    out = RS.without_repeats(docs(spark, EDGE))
+    left = {p.split("/")[-1].rsplit("-", 1)[0] for p in set(glob.glob(f"{at}/*")) - before}
+    assert left == {"texts", "spans"} and out.count() == len(EDGE)
+    common.release(spark)
+    assert not {p for p in set(glob.glob(f"{at}/*")) - before}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from brindle.llm import common
+
+    for master, conf in (("spark://h:1", {}), ("local-cluster[2,1,1024]", {}), ("yarn", {})):
+        s = SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master, getConf=lambda: {}))
+        with pytest.raises(ValueError):
+            common.shared_dir(s)
+    s = SimpleNamespace(conf=SimpleNamespace(get={"spark.checkpoint.dir": "/tmp/checkpoints"}.get), sparkContext=SimpleNamespace(master="local[8]", getConf=lambda: {}))
+    assert common.shared_dir(s) == "/tmp/checkpoints"
 
 
 def brute_fingerprint(text):
