@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, per_document, scratch, table
+from .common import materialise, partitions, per_document, scratch, table
 
 WINDOW = 35
 KMER = 8
@@ -184,27 +184,31 @@ def _claims(texts: DataFrame, window: int, kmer: int, bits: int) -> tuple[DataFr
 
 
 def _pieces(claims: DataFrame) -> DataFrame:
-    """Claims that continue each other on both sides, merged and cut on the grid of the other's words."""
+    """Claims that continue each other on both sides, merged and cut on the grid of the other's words.
 
-    def run(cols):
-        out = []
-        for row, work in zip(cols["row"], cols["work"], strict=True):
-            c = np.array([(w["other"], w["at"], w["start"], w["n"]) for w in work], np.int64)
-            c = c[np.lexsort((c[:, 2], c[:, 1] - c[:, 2], c[:, 0]))]
-            other, at, start, n = c.T
-            new = np.append(True, (other[1:] != other[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (start[1:] != start[:-1] + n[:-1]))
-            first = np.flatnonzero(new)
+    Merging saves comparisons only: a run may end with its batch.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, other, at, start, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(5))
+            new = (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (start[1:] != start[:-1] + n[:-1])
+            first = np.append(0, np.flatnonzero(new) + 1)
             size = np.add.reduceat(n, first)
-            other, at, start = other[first], at[first], start[first]
+            row, other, at, start = row[first], other[first], at[first], start[first]
             count = (at + size - 1) // GRID - at // GRID + 1
             i = np.repeat(np.arange(len(first)), count)
             cell = at[i] // GRID + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
             low, high = np.maximum(at[i], cell * GRID), np.minimum((at + size)[i], (cell + 1) * GRID)
-            out.append((np.full(len(i), row, np.int64), start[i] + low - at[i], other[i], low, high - low))
-        return dict(zip(("row", "start", "other", "at", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+            found = {"row": row[i], "start": (start[i] + low - at[i]).astype(np.int32), "other": other[i], "at": low.astype(np.int32), "n": (high - low).astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in found.items()})
 
-    by_row = claims.groupBy("row").agg(F.collect_list(F.struct("other", "at", "start", "n")).alias("work"))
-    return per_document(by_row, ["row", "work"], run, "row long, start int, other long, at int, n int")
+    lined_up = claims.select("row", "other", "at", "start", "n").repartition(partitions(claims.sparkSession), "row").sortWithinPartitions("row", "other", F.col("at") - F.col("start"), "start")
+    return lined_up.mapInArrow(run, "row long, start int, other long, at int, n int")
 
 
 def _differing(texts: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
