@@ -52,6 +52,17 @@ def test_mix_edge_cases(spark):
     assert MX.mix(d.limit(0))[0].count() == 0
 
 
+def test_mix_keeps_the_documents_of_zero_weights(spark):
+    rows = [(i, "w " * 5, ["en", "de"][i % 2], f"src{i % 6}") for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for weights in ({"domain": {"web": 0, "books": 3}, "source": {"src1": 0}}, {"domain": {"web": 0, "books": 0, "forum": 0}}):
+        found, leaves = MX.mix(d, MX.MixConfig(weights=weights))
+        got = found.collect()
+        assert sorted(r.doc_id for r in got) == list(range(120)) and leaves.count() == 6
+        none = [r for r in got if weights["domain"].get(r.domain) == 0 or weights.get("source", {}).get(r.source) == 0]
+        assert none and all(r.copies == 0 for r in none)
+
+
 def test_pipeline_mix_on_a_hot_source(spark):
     """Forum brings half of all tokens: the shares that the README states, and no row twice."""
     import corpus_pipeline as P
@@ -75,8 +86,50 @@ def test_url_filters(spark):
     assert got[1].host == "example.com" and got[2].path == "/en/2" and (got[6].host, got[6].path) == ("", "")
     assert got[4].alias_class == got[5].alias_class == got[11].alias_class and got[6].alias_class is None
     assert U.judge(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        U.judge(df, rules=U.RULES * 200)
+    assert U.judge(df.unionByName(df)).count() == 2 * len(urls)
+    long = spark.createDataFrame([(1, "http://a.com/" + "x" * 300_000), (2, "http://" + "a." * 50_000 + "net/fr/")], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    assert {r.page_id: r.verdict for r in U.judge(long).collect()} == {1: "allow", 2: "block"}
+    assert {r.page_id: r.verdict for r in U.judge(long, spark.createDataFrame([(r.verdict, r.host, r.path) for r in U.RULES], "verdict string, host string, path string")).collect()} == {1: "allow", 2: "block"}
+
+
+def test_url_rules_by_join(spark):
+    """Any number of rules, from a table: as the expression where it can hold them, and by brute force."""
+    import random
+
+    rng = random.Random(5)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "org", "co.uk", ""]
+    paths = ["/", "/a", "/a/", "/a/b", "/é", ""]
+    rules = tuple({(v, h, p): U.Rule(v, h, p) for v in ("allow", "block") for h in rng.sample(hosts, 6) for p in rng.sample(paths, 4)}.values())
+    many = rules + tuple(U.Rule("block", f"h{i}.example", f"/p{i % 50}") for i in range(100_000))
+    urls = [f"s://{sub}{h}{p}{rest}" for sub in ("", "z.", "q.z.") for h in [*hosts, "acom", "h7.example", "h99999.example"] for p in [*paths, "/p7", "/p49"] for rest in ("", "b/c", "?q")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("html", F.lit(""))
+
+    def want(url, rules):
+        at = url.split("://")[1]
+        host = at.split("/")[0].split("?")[0]
+        path = at[len(host) :].split("?")[0]
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fit, key=lambda r: (len(r.name), r.verdict == "allow", r.name), default=None)
+        return best and (best.name, best.verdict)
+
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(df, rules).where("rule is not null").collect()}
+    assert got == {i: w for i, u in enumerate(urls) if (w := want(u, rules))}
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    assert {r.page_id: (r.rule, r.verdict) for r in U.judge(df, table).where("rule is not null").collect()} == got
+    few = {r.name: r for r in many if r.host in ("h7.example", "h99999.example")}
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(df, many).where("rule is not null").collect()}
+    assert got == {i: w for i, u in enumerate(urls) if (w := want(u, (*rules, *few.values())))}
+
+
+def test_url_decisions_spread_over_chains(spark):
+    """A block goes along aliases, redirects and canonical links of any length; an allow anywhere in the class wins."""
+    urls = [f"http://www.c{k}.org/{i}/?utm_a=1" for k in range(2) for i in range(30)] + ["http://x.net/fr/1", "http://y.net/fr/2", "http://ok.com/", "http://alone.org/"]
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    hops = [(f"http://c{k}.org/{i}", f"https://m.c{k}.org/{i + 1}#f") for k in range(2) for i in range(29)]
+    links = spark.createDataFrame([*hops, ("http://c0.org/29", urls[60]), ("http://c1.org/7.html", urls[61]), (urls[62], "ftp://c1.org/20")], "url string, target string")
+    got = {r.page_id: (r.verdict, r.alias_class) for r in U.judge(df, links=links).collect()}
+    assert [got[i][0] for i in range(60)] == ["block"] * 30 + ["allow"] * 30 and got[63][0] == "allow"
+    assert len({got[i][1] for i in range(30)}) == len({got[i][1] for i in range(30, 60)}) == 1
 
 
 @needs_tables
