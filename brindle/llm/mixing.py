@@ -12,7 +12,8 @@ The cut is found from token sums of 4096 hash ranges; only the range that the cu
 gathered in one task, however large.
 
 Defined results: tokens are words; a null text counts as empty; null domain, language or source is the node ''; a node
-without a weight has weight 1, a weight of 0 excludes it. A document of no tokens is taken where its place is in the
+without a weight has weight 1; one of weight 0 gets nothing, nor does what lies below it, and its documents come out
+with no copies. A document of no tokens is taken where its place is in the
 prefix. Rows that repeat a doc_id, or lack one, stand next to each other in an epoch's order. An empty table gives an empty result.
 DataFrame operations only.
 """
@@ -64,14 +65,22 @@ def weight_of(level: str, node: Column, config: MixConfig) -> Column:
 
 
 def fill(children: DataFrame, parent: list[str], node: str) -> DataFrame:
-    """Adds allot to children (columns parent, node, w, cap, budget): their parent's budget by weight, none over cap."""
-    order = W.partitionBy(*parent).orderBy(F.col("cap").cast("double") / F.col("w").cast("double"), node)
+    """Adds allot to children (columns parent, node, w, cap, budget): their parent's budget by weight, none over cap.
+
+    Children of one parent with the same weight and capacity get the same, so they stand as one row with their number:
+    what one task sorts is the different sizes below a parent, not its children. One of weight 0 gets nothing.
+    """
+    alike = children.groupBy(*parent, "w", "cap").agg(F.count(F.lit(1)).alias("n"), F.max("budget").alias("budget"))
+    order = W.partitionBy(*parent).orderBy(F.col("cap").cast("double") / F.col("w").cast("double"), "w", "cap")
     upto, every = order.rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy(*parent)
-    out = children.where("w > 0").withColumn("c_upto", F.sum("cap").over(upto)).withColumn("w_after", F.sum("w").over(every) - F.sum("w").over(upto))
+    caps, weights = (F.expr(f"cast({c} * n as decimal(24,0))") for c in ("cap", "w"))
+    out = alike.where("w > 0").withColumns({"caps": caps, "ws": weights}).withColumn("c_upto", F.sum("caps").over(upto)).withColumn("w_after", F.sum("ws").over(every) - F.sum("ws").over(upto))
     out = out.withColumn("full", F.expr("c_upto * w + cap * w_after <= budget * w"))
-    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every)
-    out = out.withColumn("left", left.cast("decimal(20,0)")).withColumn("w_open", F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).over(every).cast("decimal(10,0)"))
-    return out.withColumn("allot", F.expr("CASE WHEN full THEN cap ELSE (left * w) div w_open END").cast("decimal(20,0)")).drop("c_upto", "w_after", "full", "left", "w_open")
+    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("caps")).otherwise(0)).over(every)
+    out = out.withColumn("left", left.cast("decimal(20,0)")).withColumn("w_open", F.sum(F.when(~F.col("full"), F.col("ws")).otherwise(0)).over(every).cast("decimal(18,0)"))
+    out = out.select(*parent, "w", "cap", F.expr("CASE WHEN full THEN cap ELSE (left * w) div w_open END").cast("decimal(20,0)").alias("allot"))
+    zero = F.lit(0).cast("decimal(20,0)")
+    return children.where("w > 0").join(out, [*parent, "w", "cap"]).unionByName(children.where("w = 0").withColumn("allot", zero))
 
 
 def allot(leaves: DataFrame, config: MixConfig) -> DataFrame:
