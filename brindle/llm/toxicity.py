@@ -1,11 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, trained from document labels.
 
-A document is a bag of sentences. Each sentence has p = sigmoid(w.x + b) over its words and word beginnings, and the
-document is toxic with probability 1 - prod(1 - p). Only documents are labelled; the likelihood of the bag trains the
-sentence weights, so the sentences that carry a document's toxicity can be located afterwards.
-
-Defined results: a null text counts as empty; an empty text has no sentence and scores the noisy-or of one empty
-sentence, sigmoid(b). Repeated rows are scored alike. An empty label table gives a model that knows only its prior.
+A document is a bag of sentences. Each sentence has odds exp(w.x + b) over its words and word beginnings, and a chance q
+to make its document toxic: what these odds add to those of a sentence without any known feature, so that such sentences
+add nothing, however many there are. The document is toxic with probability 1 - (1 - sigmoid(b)) * prod(1 - q). Only
+documents are labelled; the likelihood of the bag trains the sentence weights, so the sentences that carry a document's
+toxicity can be located afterwards.
+
+Defined results: a null text counts as empty; an empty text, like one without known features, scores sigmoid(b).
+Repeated rows are scored alike. Without labels of both classes the model knows only its prior and rejects nothing.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ class ToxicityConfig:
     #: A feature must stand in so many toxic training documents, and be so many times as frequent there.
     min_documents: int = 4
     min_lift: float = 3.0
-    max_features: int = 50_000
     steps: int = 200
     rate: float = 0.2
     l1: float = 1e-5
@@ -76,7 +77,7 @@ def _sentence_features(text: str) -> list[set[str]]:
 def screen(sample: DataFrame, config: ToxicityConfig) -> list[str]:
     """Features that stand in enough toxic documents, and in a larger share of them than of the others.
 
-    Counted on the executors: each batch sends a feature's counts once.
+    Counted on the executors: each batch sends a feature's counts once. The sample bounds how many there are.
     """
 
     def count(cols):
@@ -91,7 +92,7 @@ def screen(sample: DataFrame, config: ToxicityConfig) -> list[str]:
     counts = per_document(sample, ["text", "y"], count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = F.col("toxic") * max(n.get(0, 0), 1) / ((F.col("clean") + 0.5) * max(n.get(1, 0), 1))
     kept = counts.where((F.col("toxic") >= config.min_documents) & (lift >= config.min_lift))
-    return sorted(r.f for r in kept.orderBy(F.desc("toxic"), "f").limit(config.max_features).collect())
+    return sorted(r.f for r in kept.select("f").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), label: str = "toxic") -> ToxicityModel:
@@ -122,20 +123,30 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     return ToxicityModel(b, {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3})
 
 
+def likelihood(w, b, ids, sent_of, sent_doc, y):
+    """(mean log loss of the bags, its gradient by w and b)."""
+    n_doc = len(y)
+    z = np.bincount(sent_of, w[ids], len(sent_doc)) + b
+    soft, soft_b = np.logaddexp(0, z), np.logaddexp(0, b)
+    p, p_b = np.exp(z - soft), math.exp(b - soft_b)
+    counts = z > b
+    total = soft_b + np.bincount(sent_doc, np.where(counts, soft - soft_b, 0.0), n_doc)
+    toxic = np.maximum(-np.expm1(-total), 1e-12)
+    # of the loss by total: of a clean bag 1, of a toxic one minus its odds of being clean
+    pull = np.where(y == 1, -np.exp(-total) / toxic, 1.0)
+    g = np.where(counts, p * pull[sent_doc], 0.0)
+    by_b = (p_b * pull).sum() + (np.where(counts, p - p_b, 0.0) * pull[sent_doc]).sum()
+    loss = np.where(y == 1, -np.log(toxic), total).mean()
+    return loss, np.append(np.bincount(ids, g[sent_of], len(w)), by_b) / n_doc
+
+
 def _noisy_or(ids, sent_of, sent_doc, y, n, config):
     """Full-batch Adam on the bag likelihood; after each step weights shrink by l1 (proximal) and l2."""
-    n_sent, n_doc = len(sent_doc), len(y)
     w, b = np.zeros(n), config.start_bias
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    positive = y[sent_doc] == 1
+    w += 1e-3  # above the bias, so that every sentence with a feature counts at first
     for step in range(1, config.steps + 1):
-        z = np.bincount(sent_of, w[ids], n_sent) + b
-        soft = np.logaddexp(0, z)
-        p = np.exp(z - soft)
-        total = np.bincount(sent_doc, soft, n_doc)
-        pull = np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12)
-        g = np.where(positive, -p * pull[sent_doc], p)
-        grad = np.append(np.bincount(ids, g[sent_of], n), g.sum()) / n_doc
+        _, grad = likelihood(w, b, ids, sent_of, sent_doc, y)
         grad[:n] += config.l2 * w
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
@@ -168,14 +179,15 @@ class _Scorer:
 
     def document(self, text: str) -> tuple[float, tuple[int, int] | None]:
         """(noisy-or of the sentences, span of the worst sentence)."""
-        clean, worst, where = 0.0, -math.inf, None
+        bias = self.model.bias
+        base = math.log1p(math.exp(bias))
+        clean, worst, where = base, -math.inf, None
         for a, b in sentences(text):
             z = self.sentence(text[a:b].lower())
-            clean += math.log1p(math.exp(z)) if z < 30 else z
+            if z > bias:
+                clean += (math.log1p(math.exp(z)) if z < 30 else z) - base
             if z > worst:
                 worst, where = z, (a, b)
-        if where is None:
-            clean = math.log1p(math.exp(self.model.bias))
         return -math.expm1(-clean), where
 
 
