@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/brindle/{label}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, label: str, mine: bool = False) -> str:
+    """A folder that isn't there yet; mine: it goes with the scratch() around."""
+    path = f"{shared_dir(spark)}/brindle/{label}-{uuid.uuid4().hex}"
+    if mine:
+        _written[-1].append(path)
+    return path
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
@@ -64,14 +69,15 @@ def release(spark: SparkSession) -> None:
     delete(spark, _written[0])
 
 
-def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, label: str, keep: bool = False, at: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder (or to at, which then stays) and read it back.
 
     That cuts lineage: losing an executor later recomputes no step before this one.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    _written[-2 if keep and len(_written) > 1 else -1].append(path)
+    path = at or fresh_path(spark, label)
+    if not at:
+        _written[-2 if keep and len(_written) > 1 else -1].append(path)
     held = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # shuffle files of a step go when its result is written
     try:
@@ -81,6 +87,33 @@ def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Where a row lies: its file (a hash of the path) and its number there.
+FILE, AT, PATH = f"{MINE}file", f"{MINE}at", f"{MINE}path"
+#: Keys that are broadcast at most: under 50 bytes each.
+MOST_KEYS = 1_000_000
+
+
+def located(docs: DataFrame, label: str, at: str | None = None) -> DataFrame:
+    """docs with FILE, AT and PATH, which tell rows apart whatever their columns hold.
+
+    A Parquet table gives them as it is read. Any other DataFrame is written first (to at, if that is given).
+    """
+    if FILE in docs.columns:
+        return docs
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            meta = docs.metadataColumn("_metadata")
+            return docs.select("*", F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].alias(AT), meta["file_path"].alias(PATH))
+        except AnalysisException:
+            pass
+    return located(materialise(docs, label, keep=True, at=at), label)
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast behind a check of its size; beyond that Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

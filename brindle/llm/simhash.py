@@ -8,12 +8,14 @@ within t bits of it: those where the blocks to turn over cost t flips or fewer.
 all that visit; every link is found at the home of either end.
 
 Cost: copies go as one fingerprint, then each is replicated a number of times that depends on the number of blocks only
-(60 on average for 10 blocks and t = 3). The number of blocks grows with the logarithm of the input, so that an anchor's
-homes stay near 2^17. An anchor holds its homes in memory (8 bytes each) and streams its visitors; it gives the edges of
-a spanning forest, at most one per visitor and two per join of two trees, never all pairs of a group.
+(with t = 3, on average 60 for 10 blocks, 107 for 12, 175 for 14, 240 for 16). The number of blocks grows with the
+logarithm of the input, so that an anchor's homes stay near 2^17. A task holds the homes of an anchor in memory and
+streams its visitors; an anchor with more of either than a bound is split over tasks. It gives the edges of a spanning
+forest, at most one per visitor and two per join of two trees, never all pairs of a group.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero, linked like any other; repeated
-rows fall in one component; component_id is the smallest doc_id reachable; a row without doc_id is linked but never dropped. An empty table gives an empty result.
+rows fall in one component; component_id is the smallest doc_id reachable; rows are told apart by their place, so one
+doc_id with two texts counts as two; a row without doc_id is linked but never dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, per_document, table
+from .common import AT, FILE, located, materialise, partitions, per_document, scratch, small, table
 from .components import components
 
 
@@ -48,13 +50,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, fp, file, at) of located() rows: fp is the fingerprint's bits as a signed long."""
 
     def run(cols):
         fp = np.array([fingerprint(t, words) for t in cols["text"]], np.uint64).view(np.int64)
-        return {"doc_id": cols["doc_id"], "fp": fp}
+        return {"doc_id": cols["doc_id"], "fp": fp, "file": cols[FILE], "at": cols[AT]}
 
-    return per_document(docs, ["doc_id", "text"], run, "doc_id long, fp long")
+    return per_document(docs, ["doc_id", "text", FILE, AT], run, "doc_id long, fp long, file long, at long")
 
 
 class Covering:
@@ -157,25 +159,78 @@ class _Anchor:
         return i
 
 
-def links(fps: DataFrame, n: int, reach: int = 3, blocks: int | None = None) -> DataFrame:
-    """(a, b) edges that connect just the fingerprints of column fp (distinct) that reach bits or fewer link."""
+class Split:
+    """Into how many groups the homes of an anchor, and into how many hands its visitors, are dealt.
+
+    A shard of an anchor holds one group of homes and streams one hand of visitors. Homes also visit the groups after
+    their own, so each pair meets once.
+    """
+
+    def __init__(self, sizes: dict[tuple[int, int], int], homes: int, visitors: int):
+        self.of = {}
+        for a in {a for a, _ in sizes}:
+            groups, hands = -(-sizes.get((a, 0), 0) // homes), -(-sizes.get((a, 1), 0) // visitors)
+            if max(groups, hands) > 1:
+                self.of[a] = max(1, groups), max(1, hands)
+        self.split = np.array(sorted(self.of), np.int64)
+
+    def deal(self, anchor: np.ndarray, visitor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(anchor, shard, kind, fp) of every copy; kind 0: a home compared with its group, 1: a home, 2: a visitor."""
+        hot = np.isin(anchor, self.split)
+        out = [(anchor[~hot], np.zeros((~hot).sum(), np.int64), visitor[~hot] * 2, fp[~hot])]
+        mixed = (fp ^ (fp >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+        for a in np.unique(anchor[hot]).tolist():
+            groups, hands = self.of[a]
+            for seen in (0, 1):
+                x = fp[(anchor == a) & (visitor == seen)]
+                m = mixed[(anchor == a) & (visitor == seen)]
+                own, hand = (m % np.uint64(groups)).astype(np.int64), ((m >> np.uint64(16)) % np.uint64(hands)).astype(np.int64)
+                for g in range(groups):
+                    visits = np.ones(len(x), bool) if seen else own < g
+                    out.append((np.full(visits.sum(), a), g * hands + hand[visits], np.full(visits.sum(), 2), x[visits]))
+                    if not seen:
+                        here = x[own == g]
+                        for d in range(hands):
+                            out.append((np.full(len(here), a), np.full(len(here), g * hands + d), np.full(len(here), min(d, 1)), here))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+#: Homes of an anchor that one task holds (under 100 bytes each), and visitors that it streams, at most.
+MOST_HOMES, MOST_VISITORS = 1 << 18, 1 << 22
+
+
+def _copies(batches, code: Covering):
+    """(anchor, 1 for a visitor, fingerprint) of every copy, a few thousand fingerprints at a time."""
+    for batch in batches:
+        every = batch.column(0).to_numpy().view(np.uint64)
+        for i in range(0, len(every), 2048):
+            part = every[i : i + 2048]
+            row, anchor, visitor = code.anchors(part)
+            yield anchor, visitor, part[row]
+
+
+def links(fps: DataFrame, n: int, reach: int = 3, blocks: int | None = None, most_homes: int = MOST_HOMES, most_visitors: int = MOST_VISITORS) -> DataFrame:
+    """(a, b) edges that connect just the fingerprints of column fp (n distinct ones) that reach bits or fewer link."""
     blocks = blocks or blocks_for(n)
 
+    def count(batches):
+        import pyarrow as pa
+
+        for anchor, visitor, _ in _copies(batches, Covering(blocks, reach)):
+            key, times = np.unique(anchor * 2 + visitor, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((key >> 1).astype(np.int32)), pa.array((key & 1).astype(np.int8)), pa.array(times)], names=["anchor", "visitor", "n"])
+
     def replicate(batches):
         import pyarrow as pa
 
-        code = Covering(blocks, reach)
-        for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(every), 2048):
-                part = every[i : i + 2048]
-                row, anchor, visitor = code.anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(visitor), pa.array(part[row].view(np.int64))], names=["anchor", "visitor", "fp"])
+        for anchor, visitor, fp in _copies(batches, Covering(blocks, reach)):
+            anchor, shard, kind, fp = split.deal(anchor, visitor.astype(np.int64), fp)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(kind.astype(np.int8)), pa.array(fp.view(np.int64))], names=["anchor", "shard", "kind", "fp"])
 
     def compare(batches):
         import pyarrow as pa
 
-        now, homes, held = None, [], None
+        now, homes, alike, held = None, [], True, None
 
         def out(edges):
             found = np.array(list(edges), np.uint64).reshape(-1, 2)
@@ -184,20 +239,20 @@ def links(fps: DataFrame, n: int, reach: int = 3, blocks: int | None = None) ->
         def own():
             nonlocal held
             held = _Anchor(np.concatenate(homes), reach)
-            return held.links(held.homes, False)
+            return held.links(held.homes, False) if alike else ()
 
         for batch in batches:
-            anchor, visitor, fp = (batch.column(k).to_numpy() for k in range(3))
+            anchor, shard, kind, fp = (batch.column(k).to_numpy() for k in range(4))
             fp = fp.view(np.uint64)
-            edges = np.flatnonzero((anchor[1:] != anchor[:-1]) | (visitor[1:] != visitor[:-1])) + 1
+            edges = np.flatnonzero((anchor[1:] != anchor[:-1]) | (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
             for i, j in itertools.pairwise([0, *edges.tolist(), len(fp)]):
                 if i == j:
                     continue
-                if anchor[i] != now:
+                if (anchor[i], shard[i]) != now:
                     if homes and held is None:
                         yield out(own())
-                    now, homes, held = anchor[i], [], None
-                if not visitor[i]:
+                    now, homes, alike, held = (anchor[i], shard[i]), [], kind[i] == 0, None
+                if kind[i] < 2:
                     homes.append(fp[i:j])
                 elif homes:
                     if held is None:
@@ -208,27 +263,38 @@ def links(fps: DataFrame, n: int, reach: int = 3, blocks: int | None = None) ->
 
     n_tasks = partitions(fps.sparkSession)
     # a file of fingerprints is small but each is sent many times: deal them out first
-    copies = fps.select("fp").repartition(n_tasks, "fp").mapInArrow(replicate, "anchor int, visitor byte, fp long")
-    met = copies.repartition(n_tasks, "anchor").sortWithinPartitions("anchor", "visitor")
+    dealt = fps.select("fp").repartition(n_tasks, "fp")
+    sizes = {}
+    if n > min(most_homes, most_visitors):
+        # at most 2 ** blocks anchors, 65536
+        counted = dealt.mapInArrow(count, "anchor int, visitor byte, n long").groupBy("anchor", "visitor").agg(F.sum("n").alias("n"))
+        sizes = {(r.anchor, r.visitor): r.n for r in counted.collect()}
+    split = Split(sizes, most_homes, most_visitors)
+    met = dealt.mapInArrow(replicate, "anchor int, shard int, kind byte, fp long").repartition(n_tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard", "kind")
     return met.mapInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, component_id."""
-    rows = materialise(fingerprints(docs, words), "simhash")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    joined = components(links(fps, fps.count(), reach))
-    roots = fps.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = materialise(roots, "simhash-roots")
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialise(roots.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    """One row per row of docs: doc_id, fp, component_id, file, at (its place)."""
+    with scratch(docs.sparkSession):
+        rows = materialise(fingerprints(located(docs, "simhash-docs"), words), "simhash", keep=True)
+        fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+        joined = components(links(fps, fps.count(), reach))
+        roots = fps.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        roots = materialise(roots, "simhash-roots")
+        least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = materialise(roots.join(least, "root").select("fp", "component_id"), "simhash-classes", keep=True)
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "file", "at")
 
 
 def keep_one(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the document with the smallest doc_id."""
-    gone = near_groups(docs, words, reach).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs that stay, with all their columns: of each component those with the smallest doc_id.
+
+    Rows go by their place, so only the keys of those that go move.
+    """
+    columns, docs = docs.columns, located(docs, "simhash-docs")
+    gone = materialise(near_groups(docs, words, reach).where("doc_id <> component_id").select("file", "at"), "simhash-gone")
+    return docs.join(small(gone), (docs[FILE] == gone["file"]) & (docs[AT] == gone["at"]), "left_anti").select(*(docs[c] for c in columns))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
