@@ -89,8 +89,8 @@ def materialise(df: DataFrame, label: str, keep: bool = False, at: str | None =
 
 #: Where a row lies: its file (a hash of the path) and its number there.
 FILE, AT, PATH = f"{MINE}file", f"{MINE}at", f"{MINE}path"
-#: Keys that are broadcast at most: under 50 bytes each.
-MOST_KEYS = 1_000_000
+#: Keys that are broadcast at most: some 150 bytes each.
+MOST_KEYS = 500_000
 
 
 def located(docs: DataFrame, label: str, at: str | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ child stays unspent.
 
 A leaf's allotment is a whole number of epochs and a token-prefix of one more. An epoch orders the leaf's documents by a
 seeded hash of epoch and doc_id, and its prefix holds the documents whose running token count stays within the rest.
-The cut is found from token sums of 4096 hash ranges; only the range that the cut falls in is sorted, so no leaf is ever
-gathered in one task, however large.
+The cut is found from token sums of 4096 hash ranges, first among 64 steps of 64 and then within one; only the range
+that the cut falls in is sorted, so no leaf is ever gathered in one task, however large.
 
 Defined results: tokens are words; a null text counts as empty; null domain, language or source is the node ''; a node
 without a weight has weight 1; one of weight 0 gets nothing, nor does what lies below it, and its documents come out
@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MINE, SPACE, materialise, table
+from .common import MINE, materialise, scratch, table
 
 LEVELS = ("domain", "lang", "source")
 NODES = tuple(f"{MINE}{x}" for x in LEVELS)
-RANGES = 4096
+#: Of the 4096 hash ranges of a leaf (three hexadecimal digits), how many a coarse step holds.
+STEP = 64
 #: Leaves that are broadcast at most (their rows are under 200 bytes); more are joined by a shuffle.
 MOST_LEAVES = 20_000
 
@@ -87,12 +88,14 @@ def allot(leaves: DataFrame, config: MixConfig) -> DataFrame:
     """Leaves (node columns, tokens) with allot, whole epochs and rest of each."""
     cap = (F.sum("tokens") * config.max_epochs).cast("decimal(20,0)").alias("cap")
     total = (F.sum("tokens") * config.share[0]).alias("t")
+    leaves = materialise(leaves, "mix-counts")
     budget = leaves.agg(total).select(F.expr(f"coalesce(t div {config.share[1]}, 0)").cast("decimal(20,0)").alias("budget"))
     above, parent = budget.withColumn("root", F.lit(0)), ["root"]
     base = leaves.withColumn("root", F.lit(0))
     for level, node in zip(LEVELS, NODES, strict=True):
         nodes = base.groupBy(*parent, node).agg(cap).withColumn("w", weight_of(level, F.col(node), config))
-        above = fill(nodes.join(above.select(*parent, "budget"), parent), parent, node).select(*parent, node, F.col("allot").alias("budget"))
+        children = materialise(nodes.join(above.select(*parent, "budget"), parent), "mix-nodes")
+        above = fill(children, parent, node).select(*parent, node, F.col("allot").alias("budget"))
         parent = [*parent, node]
     out = leaves.join(above, list(NODES))
     epochs = F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 0 END")
@@ -117,18 +120,32 @@ def small(leaves: DataFrame) -> DataFrame:
     return F.broadcast(leaves) if leaves.limit(MOST_LEAVES + 1).count() <= MOST_LEAVES else leaves
 
 
+def _cut(sums: DataFrame, by: str) -> DataFrame:
+    """(nodes, cut, before): the first part (by) of each leaf that passes its rest, and the tokens before it. start is
+    what comes before all parts."""
+    upto = F.col("start") + F.sum("sum").over(W.partitionBy(*NODES).orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow))
+    over = sums.withColumn("upto", upto).where("upto > rest")
+    return over.groupBy(*NODES).agg(F.min(by).alias("cut"), F.min(F.col("upto") - F.col("sum")).alias("before"))
+
+
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, DataFrame]:
     """(every document's leaf, tokens and copies: how often the mix takes it; the leaves and their allotments)."""
+    with scratch(docs.sparkSession):
+        return _mix(docs, config)
+
+
+def _mix(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame]:
     t, e, k, r = (f"{MINE}{x}" for x in ("tokens", "epochs", "key", "range"))
-    rows = materialise(keyed(docs).select("doc_id", *NODES, t), "mix-rows")
-    leaves = materialise(allot(rows.groupBy(*NODES).agg(F.sum(t).alias("tokens")), config), "mix-leaves")
+    rows = materialise(keyed(docs).select("doc_id", *NODES, t), "mix-rows", keep=True)
+    leaves = materialise(allot(rows.groupBy(*NODES).agg(F.sum(t).alias("tokens")), config), "mix-leaves", keep=True)
     terms = leaves.select(*NODES, F.col("epochs").alias(e), F.col("rest").alias(f"{MINE}rest"))
     at = placed(rows, small(terms), config)
     sums = materialise(at.groupBy(*NODES, r).agg(F.sum(t).alias("sum"), F.max(f"{MINE}rest").alias("rest")), "mix-ranges")
-    upto = F.sum("sum").over(W.partitionBy(*NODES).orderBy(r).rowsBetween(W.unboundedPreceding, W.currentRow))
-    over = sums.withColumn("upto", upto).where("upto > rest")
-    cut = over.groupBy(*NODES).agg(F.min(r).alias(f"{MINE}cut"), F.min(F.col("upto") - F.col("sum")).alias(f"{MINE}before"))
-    terms = materialise(terms.join(cut, list(NODES), "left"), "mix-cuts")
+    coarse = _cut(sums.groupBy(*NODES, F.expr(f"{r} div {STEP}").alias("step")).agg(F.sum("sum").alias("sum"), F.max("rest").alias("rest"), F.lit(0).cast("long").alias("start")), "step")
+    coarse = materialise(coarse.select(*NODES, F.col("cut").alias("step"), F.col("before").alias("start")), "mix-steps")
+    fine = _cut(sums.join(small(coarse), list(NODES)).where(F.expr(f"{r} div {STEP}") == F.col("step")), r)
+    cut = fine.select(*NODES, F.col("cut").alias(f"{MINE}cut"), F.col("before").alias(f"{MINE}before"))
+    terms = materialise(terms.join(cut, list(NODES), "left"), "mix-cuts", keep=True)
     at = placed(rows, small(terms), config)
     whole = at.where(F.coalesce(F.col(r) != F.col(f"{MINE}cut"), F.lit(True))).withColumn("in", F.coalesce(F.col(r) < F.col(f"{MINE}cut"), F.lit(True)))
     run = F.sum(t).over(W.partitionBy(*NODES).orderBy(k, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))

@@ -4,6 +4,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing as MX
@@ -48,7 +49,9 @@ def test_mix_edge_cases(spark):
     for r in leaves.collect():
         took = by_leaf[tuple(r[n] for n in MX.NODES)]
         assert took.took <= r.allot < took.took + max(1, took.most) + 1
-    assert MX.select(d).columns == d.columns and MX.select(d).count() == sum(r.copies for r in found.groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect() if r.doc_id != 3) + MX.select(d).where("doc_id = 3").count()
+    chosen = MX.select(d)
+    taken = [r.doc_id for r in chosen.collect()]
+    assert chosen.columns == d.columns and len(taken) == sum(r.copies for r in found.collect() if r.doc_id != 3) + taken.count(3)
     assert MX.mix(d.limit(0))[0].count() == 0
 
 
@@ -154,15 +157,103 @@ def test_substring_dedup_table(spark):
     assert got == {r.doc_id: x for r, x in zip(rows, RS.brute_force([r.text for r in rows]), strict=True)}
 
 
+def brute_pipeline(docs, model):
+    """Ids that each stage keeps, in plain Python: scores, texts, fingerprints and budgets one by one."""
+    import hashlib
+    import re
+
+    import numpy as np
+    from test_text_operators import brute_fingerprint
+
+    import corpus_pipeline as P
+    from brindle.llm import toxicity as TX
+
+    docs = {i: (t or "", lang or "", source or "") for i, t, lang, source in docs}
+    kept = {i: d for i, d in docs.items() if TX._Scorer(model).document(d[0])[0] < 0.5}
+    yield set(kept)
+    first = {}
+    for i in sorted(kept):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i][0]), i)
+    kept = {i: kept[i] for i in first.values()}
+    yield set(kept)
+    ids = sorted(kept)
+    fps = np.array([brute_fingerprint(kept[i][0]) for i in ids], np.uint64)
+    up = list(range(len(ids)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in np.argwhere(np.bitwise_count(fps[:, None] ^ fps) <= 3):
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    kept = {i: kept[i] for k, i in enumerate(ids) if find(k) == k}
+    yield set(kept)
+    leaves: dict = {}
+    for i, (t, lang, source) in kept.items():
+        n = re.search(r"(\d+)$", source)
+        domain = ("web", "books", "forum")[int(n[1]) % 3] if n else "web"
+        leaves.setdefault((domain, lang, source), []).append((i, len(re.findall(r"[^\x20\x09-\x0D]+", t))))
+    tokens = {leaf: sum(n for _, n in rows) for leaf, rows in leaves.items()}
+    budgets = {(): sum(tokens.values()) * P.MIX.share[0] // P.MIX.share[1]}
+    for level, name in enumerate(("domain", "lang", "source")):
+        below = {}
+        for leaf, n in tokens.items():
+            below[leaf[: level + 1]] = below.get(leaf[: level + 1], 0) + n * P.MIX.max_epochs
+        weights = P.MIX.weights[name]
+        budgets |= {k: v for p in {k[:level] for k in below} for k, v in brute_fill({k: c for k, c in below.items() if k[:level] == p}, {k: weights.get(k[level], 1) for k in below if k[:level] == p}, budgets[p]).items()}
+    out = set()
+    for leaf, rows in leaves.items():
+        epochs, rest = divmod(budgets[leaf], tokens[leaf]) if tokens[leaf] else (0, 0)
+        if epochs:
+            out |= {i for i, _ in rows}
+        upto = 0
+        for i, n in sorted(rows, key=lambda r: (hashlib.md5(f"{P.MIX.seed}:{epochs}:{r[0]}".encode()).hexdigest(), r[0])):
+            upto += n
+            if upto <= rest:
+                out.add(i)
+    yield out
+
+
 @needs_tables
 def test_pipeline(spark):
+    """Each stage against brute force on what it gets; the packed pieces against the packing contract."""
+    from test_text_operators import check_packing
+
     import corpus_pipeline as P
+    from brindle.llm import toxicity as TX
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in P.STAGES[:-1]:
+    columns = docs.columns
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    model = TX.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    for (name, stage), want in zip(P.STAGES[:-1], brute_pipeline(rows, model), strict=True):
         docs = P.materialise(stage(spark, docs, DATA), f"test-{name}")
-        assert docs.columns == columns and 0 < docs.count() < before + (name == "near_dedup")
-        before = docs.count()
-    pieces = P.STAGES[-1][1](spark, docs, DATA)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+        assert docs.columns == columns and {r.doc_id for r in docs.select("doc_id").collect()} == want, name
+        assert docs.count() == len(want) > 0
+    pieces = P.STAGES[-1][1](spark, docs, DATA).collect()
+    ids = sorted(want)
+    texts = {r.doc_id: r.text for r in rows}
+    check_packing(spark, [texts[i] for i in ids], [Row(**(r.asDict() | {"doc_id": ids.index(r.doc_id)})) for r in pieces])
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns with clashing names, an empty table."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, None, None), (None, "a b c", "en", "src1"), (2, "", "", ""), (3, long, "en", "src0"), (3, long, "en", "src0"), (4, "one two", None, "src2"), (4, "other text of four words", "de", None), (5, "one  two", "en", "src5")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    d = d.withColumns({k: F.lit(1) for k in ("fp", "digest", "tokens", "file", "at", "component_id", "copies", "keep_id")})
+    labels = f"{tmp_path}/labels.parquet"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(labels)
+    for docs in (d, d.limit(0)):
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        now = docs
+        for _, stage in P.STAGES[:-1]:
+            now = P.materialise(stage(spark, now, str(tmp_path)), "edge")
+            assert now.columns == d.columns
+        pieces = P.STAGES[-1][1](spark, now, str(tmp_path))
+        assert pieces.count() >= now.count() and (now.count() == 0) == (docs.count() == 0)
+    assert P.run(spark, str(tmp_path)).count() == 0

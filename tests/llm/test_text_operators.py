@@ -459,6 +459,9 @@ def test_quality(spark):
     assert all(got[i].predicted == i % 2 for i in range(200))
     assert got[200].score == got[201].score and got[200].n_lines == 0 and 0 <= got[200].score <= 1
     assert Q.score(docs(spark, []), model).count() == 0
+    long = "\n".join(texts) * 40
+    rows = {r.doc_id: r for r in Q.score(docs(spark, [long, long, "word " * 200_000, texts[0], texts[0]]), model).collect()}
+    assert rows[0].score == rows[1].score and rows[3].score == rows[4].score == got[0].score and all(0 <= r.score <= 1 for r in rows.values())
     assert {r.score for r in Q.score(d, Q.fit(d.limit(0), spark.createDataFrame([], "doc_id long, quality int"))).collect()} == {0.5}
 
 
