@@ -3,6 +3,11 @@
 Each stage gets all rows that the stage before it kept, and returns the columns of documents; the last returns pieces
 of packed sequences. run() writes each stage's result to the shared folder and reads it back, so a lost executor never
 sends the work back over a stage.
+
+Defined results: a null or empty text passes as an empty one: of all empty texts the smallest doc_id stays, and is packed
+as the end id alone. Rows without doc_id are never dropped as copies, rows that share one are told apart. Copies of one
+text under the smallest doc_id all stay. Further columns pass through, whatever their names. Without labels nothing is
+toxic. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The toxicity model, the fingerprints and the tokens are no SQL; tests hold the stages against brute force.
+#: The toxicity model, the fingerprints and the tokens are no SQL; test_pipeline holds each stage against brute force.
 ORACLE_SQL = None
 
 
