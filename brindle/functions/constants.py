@@ -92,7 +92,7 @@ SUPPRESS_FAILURES, SUPPRESS_CONTRADICTION, PRUNE_WEIGHT, PRUNE_DAYS = 2, 0.80, 0
 ATTENTION_LOW, ATTENTION_HIGH, ERROR_FLAG = 0.25, 0.55, 0.25
 CONFIDENCE = ((0.25, "weak speculation"), (0.50, "plausible, unverified"), (0.70, "moderate confidence"), (0.85, "strong evidence"), (0.95, "multiple confirmations"))
 CONFIDENCE_TOP = "direct, repeated, reliable"
-LEVEL_QUOTA = {"index_only": 12, "frontmatter": 6, "matching_section": 4, "adjacent_sections": 4, "full_concept": 1}
+LEVEL_QUOTA = {("index_only",): 12, ("frontmatter",): 6, ("matching_section", "adjacent_sections"): 4, ("full_concept",): 1}
 TYPE_QUOTA = {"session": 2, "lesson": 4, "skill": 2, "knowledge": 3, "project": 2}
 GOAL_STEPS = (
     ("proposed", "authorized"),
@@ -119,6 +119,19 @@ BUDGET_SPLIT = {
 }
 INITIAL_WEIGHT = {"same_session": 0.10, "model_inferred": 0.20, "one_verified_task": 0.40, "two_verified_tasks": 0.65, "three_confirmations": 0.80, "strong_repeated": 0.90}
 EPISTEMIC = ("observed", "inferred", "predicted", "imagined", "desired", "counterfactual", "unknown")
+#: Header lines of the full and of the short parser, named sections, links, lesson kinds, index and log lines.
+HEADER_KEY, SHORT_HEADER_KEY, SHORT_HEADER = r"^([A-Za-z_][\w-]*):\s*(.*)$", r"^([A-Za-z_]+):\s*(.+)$", r"(?s)\A---\n(.*?)\n---"
+SECTION_START, SECTION_NAMED = r"(?m)^(?=##\s)", r"(?ms)^##\s+\Q{name}\E\s*\n(.*?)(?=^##\s|\z)"
+WIKILINK, WIKILINK_ALIAS, WIKILINK_PLAIN = r"\[\[([^\]]+)\]\]", r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"\[\[([^\]|]+)\]\]"
+LESSON_KIND, LESSON_KIND_LINE = r"(?im)^\s*kind\s*:\s*(problems?|patterns?)", r"(?im)^\s*kind\s*:\s*(problems?|patterns?)\s*$\n?"
+INDEX_LINE, FIELD_LINE, LOG_LINE = r"\[\[([^\]]+)\]\]\s*[—-]+\s*(.+)$", r"^-\s*\*\*([^*]+):\*\*\s*(.*)$", r"^\*\s*\*\*([^*]+)\*\*:\s*(.*)$"
+#: Documents and log lines of writes; %s stands for what they name.
+SKILL_HEADER = '---\ntype: Skill\ndescription: "%s"\ntags: [skill]\ntimestamp: %s\n---\n\n# %s\n\n'
+PROPOSAL_HEADER = '---\ntype: Reference\ndescription: "Queued rule proposal (%s)"\ntags: [proposal, rule]\ntimestamp: %s\nstatus: pending\nauthor: %s\n---\n\n## Rule\n%s\n\n## Rationale\n%s\n'
+RULE_ADDED = "\n## %s\n%s\n\n_Rationale:_ %s\n"
+LOG_LESSON, LOG_SKILL, LOG_CONCEPT = "* **Update**: Lesson %s#%s recorded.", "* **Creation**: Skill %s added.", "* **Update**: %s updated."
+LOG_SESSION, LOG_APPROVED, NOTE_SESSION = "* **Update**: Session %s logged.", "* **Update**: Rule proposal %s approved and applied.", "Session %s logged."
+DASHBOARD_FIELDS = ("Updated", "Current status")
 HYPOTHESIS_STEPS = (("Proposed", "Testing"), ("Testing", "Confirmed"), ("Testing", "Refuted"))
 WORKSPACE_LIMITS = {"primary_goals": 1, "secondary_goals": 2, "hypotheses": 3, "constraints": 3, "risks": 2, "plan_steps": 5, "memory_refs": 8}
 ASSEMBLY_NODES = 8

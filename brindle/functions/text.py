@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import constants as C
 from .constants import HEADER_CHARS, STOP_WORDS
 
 TOKEN = r"[a-z0-9_.-]+"
@@ -95,7 +96,7 @@ def frontmatter(text: Column) -> Column:
 
     tags stays the raw value with its quotes (inline_list() reads it); other values lose their quotes.
     """
-    key = r"^([A-Za-z_][\w-]*):\s*(.*)$"
+    key = C.HEADER_KEY
     header = F.filter(F.split(F.regexp_extract(text, _HEADER, 1), LINE_END), lambda x: x.rlike(key))
 
     def entry(line):
@@ -116,20 +117,20 @@ def short_frontmatter(text: Column) -> Column:
     """The prompt hook's own header parser: first 800 characters, letters-only keys, non-empty values, double quotes only."""
     head = F.left(text, F.lit(HEADER_CHARS))
     # closes at the first line that starts with three hyphens
-    block = F.regexp_extract(head, r"(?s)\A---\n(.*?)\n---", 1)
-    key = r"^([A-Za-z_]+):\s*(.+)$"
+    block = F.regexp_extract(head, C.SHORT_HEADER, 1)
+    key = C.SHORT_HEADER_KEY
     entries = F.transform(F.filter(lines(block), lambda x: x.rlike(key)), lambda x: F.struct(F.regexp_extract(x, key, 1).alias("k"), F.regexp_replace(stripped(F.regexp_extract(x, key, 2)), '^"+|"+$', "").alias("v")))
-    return F.when(head.rlike(r"(?s)\A---\n(.*?)\n---"), _last_wins(entries))
+    return F.when(head.rlike(C.SHORT_HEADER), _last_wins(entries))
 
 
 def sections(text: Column) -> Column:
     """Chunks that start with a level-two heading, stripped, in order."""
-    return F.filter(F.transform(F.split(text, r"(?m)^(?=##\s)"), stripped), lambda s: s.startswith("##"))
+    return F.filter(F.transform(F.split(text, C.SECTION_START), stripped), lambda s: s.startswith("##"))
 
 
 def section(text: Column, name: str) -> Column:
     """The text under '## name' up to the next level-two heading, stripped; '' without one."""
-    return stripped(F.regexp_extract(text, rf"(?ms)^##\s+\Q{name}\E\s*\n(.*?)(?=^##\s|\z)", 1))
+    return stripped(F.regexp_extract(text, C.SECTION_NAMED.replace("{name}", name), 1))
 
 
 def concept_id(path: Column) -> Column:
@@ -140,12 +141,12 @@ def concept_id(path: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of [[target|alias]] links, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), lambda t: F.trim(F.element_at(F.split(t, r"\|"), 1)))
+    return F.transform(F.regexp_extract_all(text, F.lit(C.WIKILINK), F.lit(1)), lambda t: F.trim(F.element_at(F.split(t, r"\|"), 1)))
 
 
 def wikilinks_to_markdown(text: Column) -> Column:
     """[[target|alias]] as [alias](target.md), [[target]] as [target](target.md)."""
-    return F.regexp_replace(F.regexp_replace(text, r"\[\[([^\]|]+)\|([^\]]+)\]\]", "[$2]($1.md)"), r"\[\[([^\]|]+)\]\]", "[$1]($1.md)")
+    return F.regexp_replace(F.regexp_replace(text, C.WIKILINK_ALIAS, "[$2]($1.md)"), C.WIKILINK_PLAIN, "[$1]($1.md)")
 
 
 def placeholders(text: Column, values: dict[str, str]) -> Column:
@@ -157,4 +158,19 @@ def placeholders(text: Column, values: dict[str, str]) -> Column:
 
 def lesson_kind(text: Column) -> Column:
     """patterns if a line says 'kind: pattern', else problems; the first such line decides."""
-    return F.when(F.lower(F.regexp_extract(text, r"(?im)^\s*kind\s*:\s*(problems?|patterns?)", 1)).startswith("pattern"), "patterns").otherwise("problems")
+    return F.when(F.lower(F.regexp_extract(text, C.LESSON_KIND, 1)).startswith("pattern"), "patterns").otherwise("problems")
+
+
+def filled(form: str, *values: Column) -> Column:
+    """A format of constants.py with its %s filled in."""
+    first, *rest = form.split("%s")
+    return F.concat(F.lit(first), *(x for v, r in zip(values, rest, strict=True) for x in (v, F.lit(r))))
+
+
+def without_last_lines(text: Column) -> Column:
+    """Without line feeds at the end."""
+    return F.regexp_replace(text, r"\n+\z", "")
+
+
+def with_line_end(text: Column) -> Column:
+    return F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))

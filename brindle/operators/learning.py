@@ -1,8 +1,8 @@
 """Edge weights, decisions, consolidation and ledger state.
 
 The weight update w -> min(hi, max(lo, w + d)) doesn't commute, but runs of it compose to one step of the same form, so
-an edge's history is folded in pieces: each (edge, day) folds its own events in order, then an edge composes its days.
-No task holds the history of a hot edge. In doubles this agrees with the one-by-one fold to rounding.
+an edge's history is folded in pieces: ranges of edge and order, of about a partition each, then an edge composes its
+pieces. No task holds the history of a hot edge. In doubles this agrees with the one-by-one fold to rounding.
 """
 
 from __future__ import annotations
@@ -34,22 +34,40 @@ def _fold(steps: Column) -> Column:
     return F.aggregate(steps, none, lambda a, x: _then(a, x["s"]))
 
 
-def edge_weights(updates: DataFrame, edges: DataFrame, key: list[str], order: list[str], piece: Column) -> DataFrame:
-    """edges (key, weight, success_count, failure_count) after all updates (key, reward, eligibility, confidence,
-    independence, order...). Updates under the eligibility bound, or of edges that don't exist, do nothing.
+def weight_steps(updates: DataFrame, key: list[str], order: list[str], piece: Column | None = None) -> DataFrame:
+    """(key, s, up, down): all updates of each edge (key, reward, eligibility, confidence, independence, order...) as one
+    step, with its successes and failures. Updates under the eligibility bound do nothing.
 
-    piece rises with order: events are folded within a piece, pieces then composed in turn.
+    Pieces are ranges of (key, order), of about equal size however hot an edge is, unless piece (which rises with order)
+    names them: each is folded in order, then an edge's pieces are composed in turn.
     """
     dw = S.weight_change(F.col("reward"), F.col("eligibility"), F.col("confidence"), F.col("independence"))
-    rows = updates.withColumn("dw", dw).where("dw is not null").withColumn("piece", piece)
+    rows = updates.withColumn("dw", dw).where("dw is not null").select(*key, *order, "reward", "dw", *([] if piece is None else [piece.alias("piece")]))
+    if piece is None:
+        n = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartitionByRange(n, *key, *order).withColumn("piece", F.spark_partition_id())
     one = F.struct(*order, _step(F.lit(0.0), F.lit(C.WEIGHT_MAX), F.col("dw")).alias("s"))
     by_piece = rows.groupBy(*key, "piece").agg(_fold(F.array_sort(F.collect_list(one))).alias("s"), F.count_if(F.col("reward") >= 0).alias("up"), F.count_if(F.col("reward") < 0).alias("down"))
-    whole = by_piece.groupBy(*key).agg(_fold(F.array_sort(F.collect_list(F.struct("piece", "s")))).alias("s"), F.sum("up").alias("up"), F.sum("down").alias("down"))
-    out = edges.join(whole, key, "left")
+    return compose(by_piece, key, "piece")
+
+
+def compose(steps: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, s, up, down): the steps of each edge in order as one."""
+    return steps.groupBy(*key).agg(_fold(F.array_sort(F.collect_list(F.struct(order, "s")))).alias("s"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+
+
+def apply_steps(edges: DataFrame, steps: DataFrame, key: list[str]) -> DataFrame:
+    """edges (key, weight, success_count, failure_count) after their steps; steps of edges that don't exist do nothing."""
+    out = edges.join(steps, key, "left")
     moved = F.greatest(F.col("s.lo"), F.least(F.col("s.hi"), F.col("weight") + F.col("s.d")))
     return out.withColumns({"weight": F.when(F.col("s").isNull(), F.col("weight")).otherwise(moved), "success_count": F.col("success_count") + F.coalesce("up", F.lit(0)), "failure_count": F.col("failure_count") + F.coalesce("down", F.lit(0))}).drop("s", "up", "down")
 
 
+def edge_weights(updates: DataFrame, edges: DataFrame, key: list[str], order: list[str], piece: Column | None = None) -> DataFrame:
+    """edges after all updates, in order."""
+    return apply_steps(edges, weight_steps(updates, key, order, piece), key)
+
+
 def insert_or_ignore(have: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """have, and those rows of new whose key isn't there; of new rows with one key the first weight in order."""
     first = new.groupBy(*key).agg(F.min_by(F.struct(*[c for c in new.columns if c not in key]), "ord").alias("r")).select(*key, "r.*")
@@ -99,7 +117,7 @@ def merge_deltas(deltas: DataFrame, by: list[str], order: Column, value: str) ->
     return deltas.groupBy(*by).agg(F.max_by(value, order).alias(value))
 
 
-def transitions(rows: DataFrame, by: list[str], order: list[str], status: str, allowed=C.GOAL_STEPS) -> DataFrame:
+def transitions(rows: DataFrame, by: list[str], order: list[str], status: str, allowed: tuple = C.GOAL_STEPS) -> DataFrame:
     """rows with previous status, and whether the step to the present one is allowed (a first status always is)."""
     before = F.lag(status).over(W.partitionBy(*by).orderBy(*order))
     ok = F.col("before").isNull() | (F.col("before") == F.col(status))

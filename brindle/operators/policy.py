@@ -35,13 +35,21 @@ def hot_paths(paths: DataFrame, by: list[str], success: Column, cost: Column, hi
 
 def contradictions(edges: DataFrame) -> DataFrame:
     """Active edges (source, target, relation, scope array, edge_id) that an active edge of the opposite relation
-    (R and does_not_R) contradicts in a shared scope: (edge_id, status testing)."""
+    (R and does_not_R) contradicts in a shared scope: (edge_id, status testing).
+
+    Each scope of a pair of nodes is asked once whether both signs stand in it; no two edges are compared.
+    """
     base = F.regexp_replace("relation", "^does_not_", "")
     rows = edges.where("status = 'active'").withColumn("base", base).withColumn("negative", F.col("relation").startswith("does_not_"))
-    yes = rows.where("not negative").select("source", "target", "base", F.col("scope").alias("yes_scope"), F.col("edge_id").alias("yes_id"))
-    no = rows.where("negative").select("source", "target", "base", F.col("scope").alias("no_scope"), F.col("edge_id").alias("no_id"))
-    both = yes.join(no, ["source", "target", "base"]).where(F.arrays_overlap("yes_scope", "no_scope"))
-    return both.select(F.explode(F.array("yes_id", "no_id")).alias("edge_id")).distinct().withColumn("status", F.lit("testing"))
+    place = ["source", "target", "base", "part"]
+    parts = rows.select("edge_id", "source", "target", "base", "negative", F.explode(F.array_distinct("scope")).alias("part"))
+    both = parts.groupBy(*place).agg(F.bool_or("negative").alias("no"), F.bool_and("negative").alias("only")).where("no and not only").select(*place)
+    return parts.join(both, place, "left_semi").select("edge_id").distinct().withColumn("status", F.lit("testing"))
+
+
+def cognitive_efficiency(quality: Column, cost: Column) -> Column:
+    """Quality of what was done over what it cost; null where it cost nothing."""
+    return F.try_divide(quality, cost)
 
 
 def expected_value(branches: DataFrame, option: str = "option_id") -> DataFrame:

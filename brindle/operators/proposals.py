@@ -1,7 +1,9 @@
-"""Gated writes as pure plans: each function splits candidates into accepted writes and rejections; a sink applies them.
+"""Gated writes as pure plans: each function splits candidates into accepted writes and rejections; writes.apply() applies
+them to the files.
 
 Order of the gates for every write: author, target, secrets in every field, header. Nothing is deleted. A single driver
-applies a batch, which takes the place of a writer lock; author and message go to the audit columns.
+applies a batch, which takes the place of a writer lock; author and message go to the audit columns. Within a batch,
+writes count in the order of their ord column, where they have one.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import gates as G
 from ..functions import text as T
 
@@ -25,6 +28,10 @@ def split(rows: DataFrame, *errors: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("error is null").drop("error"), marked.where("error is not null")
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows if "ord" in rows.columns else rows.withColumn("ord", F.lit(0))
+
+
 def _secret(*fields: Column) -> Column:
     return G.secret_reason(F.concat_ws("\n", *fields))
 
@@ -32,9 +39,9 @@ def _secret(*fields: Column) -> Column:
 def new_lesson(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """candidates (area, slug, content, keywords, author_*): a section for an existing area file and an index line."""
     kind = T.lesson_kind(F.col("content"))
-    body = T.stripped(F.regexp_replace("content", r"(?im)^\s*kind\s*:\s*(problems?|patterns?)\s*$\n?", ""))
+    body = T.stripped(F.regexp_replace("content", C.LESSON_KIND_LINE, ""))
     path = F.concat(F.lit("Lessons/"), F.col("area"), F.lit("/"), kind, F.lit(".md"))
-    rows = candidates.withColumns({"path": path, "section_body": body}).join(files.select("path", F.col("text").alias("existing")), "path", "left")
+    rows = _ordered(candidates).withColumns({"path": path, "section_body": body}).join(files.select("path", F.col("text").alias("existing")), "path", "left")
     ok, bad = split(
         rows,
         _author_error(),
@@ -44,22 +51,23 @@ def new_lesson(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
     )
     line = F.concat(F.lit("- [["), F.regexp_extract("path", r"^Lessons/(.*)\.md$", 1), F.lit("]] — "), F.array_join("keywords", ", "))
     section = F.concat(F.lit("\n## "), F.col("slug"), F.lit("\n"), F.col("section_body"), F.lit("\n"))
-    log = F.concat(F.lit("* **Update**: Lesson "), F.col("path"), F.lit("#"), F.col("slug"), F.lit(" recorded."))
-    return ok.select("path", section.alias("append"), F.concat(F.lit("## "), F.col("area")).alias("index_heading"), line.alias("index_line"), log.alias("log_line"), "author_name", "author_email"), bad
+    log = T.filled(C.LOG_LESSON, F.col("path"), F.col("slug"))
+    return ok.select("path", section.alias("append"), F.concat(F.lit("## "), F.col("area")).alias("index_heading"), line.alias("index_line"), log.alias("log_line"), "author_name", "author_email", "ord"), bad
 
 
 def new_skill(candidates: DataFrame, files: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    """candidates (name, content, author_*): a new skill document; a header is made where there is no type."""
+    """candidates (name, content, author_*): a new skill document; a header is made where there is no type. Of several
+    with one name the first (by ord, name, content) is taken."""
     path = F.concat(F.lit("Skills/"), T.slug(F.col("name")), F.lit(".md"))
-    head = F.concat(F.lit('---\ntype: Skill\ndescription: "'), F.replace("name", F.lit('"'), F.lit("'")), F.lit(f'"\ntags: [skill]\ntimestamp: {today}\n---\n\n# '), F.col("name"), F.lit("\n\n"), F.regexp_replace("content", r"(?U)^\s+", ""))
+    head = T.filled(C.SKILL_HEADER, F.replace("name", F.lit('"'), F.lit("'")), F.lit(today), F.col("name"))
     has_type = F.coalesce(F.length(T.frontmatter(F.col("content"))["type"]) > 0, F.lit(False))
-    doc = F.when(has_type, F.col("content")).otherwise(head)
-    rows = candidates.withColumns({"path": path, "document": doc}).join(files.select("path", F.lit(True).alias("there")), "path", "left")
-    again = F.row_number().over(W.partitionBy("path").orderBy("name", "content")) > 1
-    rows = rows.withColumn("again", again)
-    ok, bad = split(rows, _author_error(), F.when(F.col("there") | F.col("again"), "skill already exists"), _secret(F.col("name"), F.col("document")), G.violation(F.col("document")))
-    ends = F.when(F.col("document").endswith("\n"), F.col("document")).otherwise(F.concat(F.col("document"), F.lit("\n")))
-    return ok.select("path", ends.alias("document"), F.concat(F.lit("* **Creation**: Skill "), F.col("path"), F.lit(" added.")).alias("log_line"), "author_name", "author_email"), bad
+    doc = F.when(has_type, F.col("content")).otherwise(F.concat(head, F.regexp_replace("content", r"(?U)^\s+", "")))
+    rows = _ordered(candidates).withColumns({"path": path, "document": doc}).join(files.select("path", F.lit(True).alias("there")), "path", "left")
+    error = F.coalesce(_author_error(), F.when(F.col("there"), "skill already exists"), _secret(F.col("name"), F.col("document")), G.violation(F.col("document")))
+    rows = rows.withColumn("own_error", error)
+    again = F.row_number().over(W.partitionBy("path", F.col("own_error").isNull()).orderBy("ord", "name", "content")) > 1
+    ok, bad = split(rows.withColumn("again", again), F.col("own_error"), F.when(F.col("again"), "skill already exists"))
+    return ok.select("path", T.with_line_end(F.col("document")).alias("document"), T.filled(C.LOG_SKILL, F.col("path")).alias("log_line"), "author_name", "author_email", "ord"), bad
 
 
 def bump_timestamp(text: Column, today: str) -> Column:
@@ -68,12 +76,17 @@ def bump_timestamp(text: Column, today: str) -> Column:
 
 
 def update_concept(patches: DataFrame, files: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    """patches (concept_id, patch, author_*): the concept with the patch appended and a new timestamp."""
-    rows = patches.withColumn("path", T.concept_id(F.col("concept_id"))).join(files.select("path", F.col("text").alias("existing")), "path", "left")
-    doc = F.concat(F.regexp_replace("existing", r"\n+\z", ""), F.lit("\n\n"), T.stripped(F.col("patch")), F.lit("\n"))
-    rows = rows.withColumn("document", bump_timestamp(doc, today))
-    ok, bad = split(rows, _author_error(), F.when(G.protected(F.col("concept_id")), "protected target"), F.when(F.col("existing").isNull(), "no such concept"), _secret(F.col("patch")), G.violation(F.col("document")))
-    return ok.select("path", "document", F.concat(F.lit("* **Update**: "), F.col("path"), F.lit(" updated.")).alias("log_line"), "author_name", "author_email"), bad
+    """patches (concept_id, patch, author_*): each concept once, with all its accepted patches appended in order (ord, then
+    patch) and a new timestamp. log_line has a line for each patch, the last on top; the author is the last one's."""
+    rows = _ordered(patches).withColumn("path", T.concept_id(F.col("concept_id"))).join(files.select("path", F.col("text").alias("existing")), "path", "left")
+    ok, bad = split(rows, _author_error(), F.when(G.protected(F.col("concept_id")), "protected target"), F.when(F.col("existing").isNull(), "no such concept"), _secret(F.col("patch")), G.violation(bump_timestamp(F.col("existing"), today)))
+    one = F.struct("ord", "patch", "author_name", "author_email")
+    whole = ok.groupBy("path").agg(F.first("existing").alias("existing"), F.array_sort(F.collect_list(one)).alias("all"))
+    added = F.array_join(F.transform("all", lambda x: F.concat(F.lit("\n\n"), T.stripped(x["patch"]))), "")
+    doc = bump_timestamp(F.concat(T.without_last_lines(F.col("existing")), added, F.lit("\n")), today)
+    line = T.filled(C.LOG_CONCEPT, F.col("path"))
+    last = F.element_at("all", -1)
+    return whole.select("path", doc.alias("document"), F.array_join(F.transform("all", lambda x: line), "\n").alias("log_line"), last["author_name"].alias("author_name"), last["author_email"].alias("author_email"), last["ord"].alias("ord")), bad
 
 
 def session_stem(handoff: Column, today: str) -> Column:
@@ -85,25 +98,34 @@ def session_stem(handoff: Column, today: str) -> Column:
     return F.when((topic != "") & (topic != date), F.concat(date, F.lit("-"), topic)).otherwise(date)
 
 
+def free_numbers(rows: DataFrame, taken: DataFrame, by: str, order: str) -> DataFrame:
+    """rows with n: in order, the numbers from 1 that taken (by, n) leaves free in their group.
+
+    The k-th free number is k and the taken ones before it: those that have fewer than k free numbers below them. One
+    window over rows and taken numbers counts these.
+    """
+    k = F.row_number().over(W.partitionBy(by).orderBy(order))
+    below = F.col("n") - F.row_number().over(W.partitionBy(by).orderBy("n"))
+    gone = taken.select(by, "n").distinct().select(by, below.cast("long").alias("k"), F.lit(1).alias("is_taken"), F.lit(None).alias("row"))
+    asked = rows.select(F.struct(*rows.columns).alias("row"), F.col(by), k.cast("long").alias("k")).select(by, "k", F.lit(0).alias("is_taken"), "row")
+    before = F.sum("is_taken").over(W.partitionBy(by).orderBy("k", "is_taken").rowsBetween(W.unboundedPreceding, W.currentRow))
+    both = asked.unionByName(gone.withColumn("row", F.col("row").cast(asked.schema["row"].dataType)))
+    return both.withColumn("n", F.col("k") + before).where("is_taken = 0").select("row.*", "n")
+
+
 def log_session(handoffs: DataFrame, files: DataFrame, today: str, order: str = "ord") -> tuple[DataFrame, DataFrame]:
     """handoffs (handoff, author_*, order): session documents with a free name; name-2, name-3 ... follow a taken one."""
     ok, bad = split(handoffs, _author_error(), G.violation(F.col("handoff")), _secret(F.col("handoff")))
     rows = ok.withColumn("stem", session_stem(F.col("handoff"), today))
     # names of a stem that are taken: the stem itself is 1, stem-n is n
     name = F.regexp_extract("path", r"^Sessions/(.*)\.md$", 1)
-    wanted = rows.select("stem").distinct()
     names = files.select(name.alias("name")).where("name <> ''")
-    both = names.select("name", F.col("name").alias("stem"), F.lit(1).alias("n")).unionByName(names.select("name", F.regexp_extract("name", r"^(.*)-\d+$", 1).alias("stem"), F.expr(r"try_cast(regexp_extract(name, '-(\\d+)$', 1) AS int)").alias("n")).where("stem <> '' and n > 1"))
-    taken = both.join(wanted, "stem").groupBy("stem").agg(F.array_distinct(F.collect_list("n")).alias("taken"))
-    k = F.row_number().over(W.partitionBy("stem").orderBy(order))
-    rows = rows.join(taken, "stem", "left").withColumn("k", k).withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    free = F.filter(F.sequence(F.lit(1), F.size("taken") + F.col("k")), lambda i: ~F.array_contains("taken", i))
-    n = F.element_at(free, F.col("k"))
-    rows = rows.withColumn("name", F.when(n == 1, F.col("stem")).otherwise(F.concat(F.col("stem"), F.lit("-"), n.cast("string"))))
-    doc = F.when(F.col("handoff").endswith("\n"), F.col("handoff")).otherwise(F.concat(F.col("handoff"), F.lit("\n")))
+    both = names.select(F.col("name").alias("stem"), F.lit(1).alias("n")).unionByName(names.select(F.regexp_extract("name", r"^(.*)-\d+$", 1).alias("stem"), F.expr(r"try_cast(regexp_extract(name, '-([1-9]\\d*)$', 1) AS int)").alias("n")).where("stem <> '' and n > 1"))
+    rows = free_numbers(rows, both.join(rows.select("stem").distinct(), "stem", "left_semi"), "stem", order)
+    rows = rows.withColumn("name", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat(F.col("stem"), F.lit("-"), F.col("n").cast("string"))))
     path = F.concat(F.lit("Sessions/"), F.col("name"), F.lit(".md"))
     line = F.concat(F.lit("* ["), F.col("name"), F.lit("]("), F.col("name"), F.lit(".md) - "), F.coalesce(T.frontmatter(F.col("handoff"))["description"], F.lit("")))
-    return rows.select(path.alias("path"), doc.alias("document"), line.alias("index_line"), F.concat(F.lit("* **Update**: Session "), path, F.lit(" logged.")).alias("log_line"), "author_name", "author_email"), bad
+    return rows.select(path.alias("path"), T.with_line_end(F.col("handoff")).alias("document"), line.alias("index_line"), T.filled(C.NOTE_SESSION, F.col("name")).alias("note"), T.filled(C.LOG_SESSION, path).alias("log_line"), "author_name", "author_email", F.col(order).alias("ord")), bad
 
 
 def proposal_id(text: Column, rationale: Column) -> Column:
@@ -114,27 +136,31 @@ def new_rule(rules: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """rules (rule, rationale, author_*): pending proposals, one per id however often it is sent."""
     ok, bad = split(rules, _author_error(), _secret(F.col("rule"), F.col("rationale")))
     pid = proposal_id(F.col("rule"), F.col("rationale"))
-    head = F.concat(F.lit('---\ntype: Reference\ndescription: "Queued rule proposal ('), pid, F.lit(f')"\ntags: [proposal, rule]\ntimestamp: {today}\nstatus: pending\nauthor: '), F.col("author_name"))
-    doc = F.concat(head, F.lit("\n---\n\n## Rule\n"), T.stripped(F.col("rule")), F.lit("\n\n## Rationale\n"), T.stripped(F.col("rationale")), F.lit("\n"))
+    doc = T.filled(C.PROPOSAL_HEADER, pid, F.lit(today), F.col("author_name"), T.stripped(F.col("rule")), T.stripped(F.col("rationale")))
     rows = ok.select(pid.alias("proposal_id"), F.concat(F.lit("mcp_proposals/"), pid, F.lit(".md")).alias("path"), doc.alias("document"), "author_name", "author_email")
     return rows.groupBy("proposal_id", "path").agg(F.min_by(F.struct("document", "author_name", "author_email"), "document").alias("r")).select("proposal_id", "path", "r.*"), bad
 
 
 def approve(requests: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """requests (proposal_id, is_admin) against proposals (path, text): the rule to append and the proposal approved."""
-    rows = requests.withColumn("path", F.concat(F.lit("mcp_proposals/"), F.regexp_replace("proposal_id", r"\.md$", ""), F.lit(".md"))).join(proposals.select("path", "text"), "path", "left")
+    """requests (proposal_id, is_admin) against proposals (path, text): the rule to append and the proposal approved.
+    Each proposal is approved once: of several valid requests the first (by ord), the others find it pending no more."""
+    rows = _ordered(requests).withColumn("path", F.concat(F.lit("mcp_proposals/"), F.regexp_replace("proposal_id", r"\.md$", ""), F.lit(".md"))).join(proposals.select("path", "text"), "path", "left")
     status = T.frontmatter(F.col("text"))["status"]
-    ok, bad = split(
-        rows,
+    error = F.coalesce(
         F.when(~F.coalesce("is_admin", F.lit(False)), "admin privilege required"),
         F.when(F.col("text").isNull(), "no such proposal"),
         F.when(F.coalesce(status, F.lit("")) != "pending", "proposal is not pending"),
         _secret(F.col("text")),
     )
+    rows = rows.withColumn("own_error", error)
+    turn = F.row_number().over(W.partitionBy("path", F.col("own_error").isNull()).orderBy("ord", "proposal_id"))
+    ok, bad = split(rows.withColumn("turn", turn), F.col("own_error"), F.when(F.col("turn") > 1, "proposal is not pending"))
     body = T.body(F.col("text"))
-    add = F.concat(F.lit("\n## "), F.regexp_extract("path", r"([^/]*)\.md$", 1), F.lit("\n"), T.section(body, "Rule"), F.lit("\n\n_Rationale:_ "), T.section(body, "Rationale"), F.lit("\n"))
+    pid = F.regexp_extract("path", r"([^/]*)\.md$", 1)
+    add = T.filled(C.RULE_ADDED, pid, T.section(body, "Rule"), T.section(body, "Rationale"))
     done = F.regexp_replace("text", r"(?m)^status:\s*pending\s*$", "status: approved")
-    return ok.select("path", add.alias("rules_append"), done.alias("document")), bad
+    who = F.coalesce(F.nullif(T.frontmatter(F.col("text"))["author"], F.lit("")), F.lit("admin"))
+    return ok.select("path", add.alias("rules_append"), done.alias("document"), T.filled(C.LOG_APPROVED, pid).alias("log_line"), who.alias("author_name"), F.concat(who, F.lit("@example.com")).alias("author_email"), "ord"), bad
 
 
 def prepend_log(log: Column, line: Column) -> Column:

@@ -32,6 +32,15 @@ def search(concepts: DataFrame, query: str, kind: str | None = None, limit: int
     return scored.orderBy(F.desc("score"), "concept_id").limit(limit)
 
 
+def find_skill(concepts: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """search() among skills."""
+    return search(concepts, query, kind="Skill", limit=limit)
+
+
+#: Concepts of any kind.
+find_concept = search
+
+
 def find_lesson(index: DataFrame, keyword: str, limit: int = 10) -> DataFrame:
     """(target, concept_id, kw_line, score): lines with a keyword that contains the wanted one or is contained in it."""
     kw = (keyword or "").lower().strip()
@@ -45,8 +54,8 @@ def matched_lessons(prompts: DataFrame, index: DataFrame, existing: DataFrame, m
 
     Lines whose lesson doesn't exist go; of lines to one lesson the best ranked stays. Keywords of word characters only
     meet the prompt's tokens in an equi join. Of any other keyword, its first token must be a token of the prompt: that
-    joins, and the keyword as a whole is then looked for with a pattern. Only keywords without a letter or digit are
-    held against every prompt.
+    joins, and the keyword as a whole is then looked for with a pattern. A keyword without a letter or digit stands as
+    a word only where it is all that lies between two words, so it meets these gaps in an equi join.
     """
     low = prompts.select("prompt_id", F.lower("prompt").alias("low"))
     lines = index.join(existing.select("target"), "target", "left_semi")
@@ -55,12 +64,13 @@ def matched_lessons(prompts: DataFrame, index: DataFrame, existing: DataFrame, m
     plain = F.col("key").rlike("^[a-z0-9_]+$")
     tokens = low.select("prompt_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("key"))
     by_token = tokens.join(distinct, "key").select("prompt_id", "key")
-    first = F.regexp_extract("key", r"[\p{L}\p{N}_]+", 0)
+    first = F.regexp_extract("key", r"(?U)\w+", 0)
     others = distinct.where(~plain).select("key", first.alias("first"))
-    all_tokens = low.select("prompt_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("first"))
+    all_tokens = low.select("prompt_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("first"))
     stands = F.expr(r"rlike(low, concat('(?U)\\b\\Q', key, '\\E\\b'))")
     by_first = all_tokens.join(others.where("first <> ''"), "first").where(stands).select("prompt_id", "key")
-    by_all = low.join(others.where("first = ''"), stands).select("prompt_id", "key")
+    gaps = F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)(?<=\w)\W+(?=\w)"), F.lit(0)))
+    by_all = low.select("prompt_id", F.explode(gaps).alias("key")).join(others.where("first = ''").select("key"), "key").select("prompt_id", "key")
     by_pattern = by_first.unionByName(by_all).distinct()
     hits = by_token.unionByName(by_pattern).join(keys, "key").groupBy("prompt_id", "line_no", "target").agg(F.count(F.lit(1)).alias("score"))
     best = W.partitionBy("prompt_id", "target").orderBy(F.desc("score"), "line_no")
@@ -113,6 +123,16 @@ def within_quota(rows: DataFrame, by: list[str], kind: str, quota: dict[str, int
     return rows.withColumn("quota_rank", rank).where(F.col("quota_rank") <= most)
 
 
+def within_levels(rows: DataFrame, by: list[str], score: str, order: str, level: str = "level", quota: dict[tuple[str, ...], int] = C.LEVEL_QUOTA) -> DataFrame:
+    """Rows within their group's quota of reads by level; levels that share a quota count together."""
+    share, most = F.lit(None).cast("string"), F.lit(0)
+    for names, n in quota.items():
+        share = F.when(F.col(level).isin(*names), names[0]).otherwise(share)
+        most = F.when(F.col(level).isin(*names), n).otherwise(most)
+    rank = F.row_number().over(W.partitionBy(*by, share).orderBy(F.desc(score), order))
+    return rows.withColumn("quota_rank", rank).where(F.col("quota_rank") <= most)
+
+
 def last_lines(lines: DataFrame, n: int, by: list[str], newest: bool = False) -> DataFrame:
     """The last n non-empty lines of each group in file order, or with newest the first n: the log is written on top."""
     if n < 0:

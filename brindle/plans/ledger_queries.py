@@ -14,6 +14,7 @@ from ..functions import scoring as S
 from ..operators import learning as L
 from ..operators import policy as P
 from ..operators import ranking as R
+from ..sources import bundle
 from ..sources.storage import shared_path
 from ..streaming import ledger
 
@@ -228,7 +229,7 @@ def _edges(updates):
 
 def _weights(spark, sf_dir):
     u = _updates(spark, sf_dir)
-    return L.edge_weights(u, _edges(u), ledger.KEY, ["ts", "event_id"], F.to_date("ts"))
+    return L.edge_weights(u, _edges(u), ledger.KEY, ["ts", "event_id"])
 
 
 def edge_weights(spark, sf_dir):
@@ -245,12 +246,45 @@ w AS (SELECT source, target, relation, list_reduce(list_prepend(0.4::DOUBLE, coa
 EDGE_WEIGHTS = f"WITH {_WEIGHTS_SQL} SELECT source, target, relation, round(weight, 6) AS weight, success_count, failure_count FROM w"
 
 
+def _ledger_rows(updates):
+    return updates.withColumns({"at": F.unix_micros(updates["ts"].cast("timestamp")), "seq": F.col("event_id")}).drop("ts", "event_id")
+
+
 def ledger_stream_replay(spark, sf_dir):
+    """Edge weights from the ledger's segments; a tenth of the edges isn't there, and stays away."""
     u = _updates(spark, sf_dir)
     path = shared_path(spark, "ledger")
-    rows = u.withColumns({"at": F.unix_micros(u["ts"].cast("timestamp")), "seq": F.col("event_id")}).drop("ts", "event_id")
-    rows.repartitionByRange(8, "at", "seq").write.parquet(path)
-    return ledger.replay(spark, path, START).withColumn("weight", F.round("weight", 6))
+    ledger.append_segment(_ledger_rows(u).repartitionByRange(8, "at", "seq"), path)
+    return ledger.replay(spark, path, _edges(u).where("source % 10 <> 7")).withColumn("weight", F.round("weight", 6))
+
+
+STREAM_REPLAY = f"WITH {_WEIGHTS_SQL} SELECT source, target, relation, round(weight, 6) AS weight, success_count, failure_count FROM w WHERE source::BIGINT % 10 <> 7"
+
+
+def ledger_resumed_stream(spark, sf_dir):
+    """The ledger appended to and replayed in two runs, the second from the first one's checkpoint."""
+    u = _updates(spark, sf_dir)
+    path, checkpoint, sink = (shared_path(spark, x) for x in ("ledger", "ledger-checkpoint", "ledger-steps"))
+    rows, half = _ledger_rows(u), u.agg(F.unix_micros(F.expr("percentile_approx(cast(ts as timestamp), 0.5)"))).first()[0]
+    ledger.append_segment(rows.where(F.col("at") < half).coalesce(2), path)
+    ledger.replay(spark, path, _edges(u), checkpoint, sink, per_batch=2)
+    ledger.append_segment(rows.where(F.col("at") >= half).coalesce(2), path)
+    return ledger.replay(spark, path, _edges(u), checkpoint, sink).withColumn("weight", F.round("weight", 6))
+
+
+def ledger_events(spark, sf_dir):
+    """Events appended to a ledger in two segments and read again: of each session what its events say, clipped."""
+    e = _read(spark, sf_dir, "events")
+    path = shared_path(spark, "events")
+    rows = e.select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("session_id"), F.repeat(F.concat(F.col("event_type"), F.lit("!")), (F.col("event_id") % 90).cast("int")).alias("summary"), (F.col("event_id") % 100 / F.lit(100.0)).alias("confidence"))
+    ledger.append_segment(rows.where("event_id % 2 = 0"), path)
+    ledger.append_segment(rows.where("event_id % 2 = 1"), path)
+    read = bundle.read_events(spark, path)
+    return read.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"), F.sum(F.length("summary")).alias("chars"), F.max("summary").alias("last"), F.count("goal_id").alias("goals"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+LEDGER_EVENTS = """SELECT user_id::VARCHAR AS session_id, count(*) AS events, sum(least(280, length(event_type || '!') * (event_id % 90)))::BIGINT AS chars, max(left(repeat(event_type || '!', (event_id % 90)::BIGINT), 280)) AS last, 0::BIGINT AS goals,
+round(sum((event_id % 100) / 100.0::DOUBLE), 6) AS confidence FROM events GROUP BY user_id"""
 
 
 def edge_insert_or_ignore(spark, sf_dir):
@@ -269,14 +303,14 @@ SELECT * FROM h UNION ALL SELECT n.* FROM n ANTI JOIN h ON n.source = h.source A
 def _consolidated(spark, sf_dir):
     rows = _weights(spark, sf_dir)
     h = F.length("target") + F.col("source").cast("long")
-    rows = rows.select("*", ((h * 7) % 101 / F.lit(100.0)).alias("contradiction_conf"), (h % 2).cast("int").alias("unique_info"), F.lit("active").alias("status"))
+    rows = rows.select("*", ((h * 7) % 101 / F.lit(100.0)).alias("contradiction_conf"), (h % 2).cast("int").alias("unique_info"), F.when(h % 9 == 0, "testing").otherwise("active").alias("status"))
     unused = rows.select(*ledger.KEY, ((h * 13) % 200).cast("int").alias("unused_days")).where("unused_days > 20")
     return L.consolidate(rows, unused)
 
 
 _CONSOLIDATED_SQL = f"""{_WEIGHTS_SQL}, x AS (SELECT *, length(target) + source::BIGINT AS h FROM w),
 y AS (SELECT *, ((h * 7) % 101) / 100.0::DOUBLE AS cc, h % 2 AS uniq, CASE WHEN (h * 13) % 200 > 20 THEN (h * 13) % 200 ELSE 0 END AS days FROM x),
-z AS (SELECT source, target, relation, CASE WHEN (failure_count >= 2 AND success_count = 0) OR cc >= 0.8::DOUBLE THEN 'suppressed' WHEN weight < 0.1::DOUBLE AND days > 90 AND success_count = 0 AND uniq = 0 THEN 'archived' ELSE 'active' END AS status FROM y)"""
+z AS (SELECT source, target, relation, CASE WHEN h % 9 = 0 THEN 'testing' WHEN (failure_count >= 2 AND success_count = 0) OR cc >= 0.8::DOUBLE THEN 'suppressed' WHEN weight < 0.1::DOUBLE AND days > 90 AND success_count = 0 AND uniq = 0 THEN 'archived' ELSE 'active' END AS status FROM y)"""
 
 
 def consolidate_status(spark, sf_dir):
@@ -385,6 +419,52 @@ LIFECYCLE = """WITH r AS (SELECT conv_id, turn, ['proposed', 'authorized', 'acti
 b AS (SELECT *, lag(status) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r)
 SELECT *, coalesce(before = status OR (before, status) IN (('proposed','authorized'),('authorized','active'),('active','achieved'),('achieved','verified')), true) AS allowed FROM b"""
 
+
+
+def outcome_rewards(spark, sf_dir):
+    """The reward of an event's outcome; none for one that isn't in the table."""
+    names = F.array(*map(F.lit, [*C.OUTCOME_REWARD, "other"]))
+    outcome = F.element_at(names, (F.col("event_id") % 9 + 1).cast("int"))
+    return _read(spark, sf_dir, "events").select("event_id", S.lookup(outcome, C.OUTCOME_REWARD).alias("reward"))
+
+
+OUTCOME_REWARDS = f"SELECT event_id, [{', '.join(str(v) for v in C.OUTCOME_REWARD.values())}, NULL][event_id % 9 + 1]::DOUBLE AS reward FROM events"
+
+
+def hypothesis_steps(spark, sf_dir):
+    names = F.array(*map(F.lit, ["Proposed", "Testing", "Confirmed", "Refuted"]))
+    turn = F.col("turn")
+    step = F.when(F.col("conv_id") % 3 == 0, turn % 4).when((F.col("conv_id") % 3 == 1) & (turn == 2), F.lit(3)).otherwise(F.least(turn, F.lit(2)))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(names, (step + 1).cast("int")).alias("status"))
+    return L.transitions(rows, ["conv_id"], ["turn"], "status", C.HYPOTHESIS_STEPS).select("conv_id", "turn", "status", "before", "allowed")
+
+
+HYPOTHESES = f"""WITH r AS (SELECT conv_id, turn, ['Proposed', 'Testing', 'Confirmed', 'Refuted'][CASE WHEN conv_id % 3 = 0 THEN turn % 4 WHEN conv_id % 3 = 1 AND turn = 2 THEN 3 ELSE least(turn, 2) END + 1] AS status FROM conversations),
+b AS (SELECT *, lag(status) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r)
+SELECT *, coalesce(before = status OR (before, status) IN ({', '.join(f"('{a}', '{b}')" for a, b in C.HYPOTHESIS_STEPS)}), true) AS allowed FROM b"""
+
+
+def level_quotas(spark, sf_dir):
+    """Reads by level: sections share a quota, whether matching or adjacent."""
+    rows = _candidates(spark, sf_dir).withColumn("level", S.retrieval_level(F.col("activation")))
+    return R.within_levels(rows, ["label"], "activation", "vec_id").select("label", "level", "vec_id", "activation", "quota_rank")
+
+
+LEVEL_QUOTAS = f"""WITH {_candidates_sql()}, k AS (SELECT *, {_LEVEL_SQL.format(a='activation')} AS level FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, replace(level, 'adjacent_sections', 'matching_section') ORDER BY activation DESC, vec_id) AS quota_rank FROM k WHERE level <> 'ignore')
+SELECT label, level, vec_id, activation, quota_rank FROM r WHERE quota_rank <= CASE level WHEN 'index_only' THEN 12 WHEN 'frontmatter' THEN 6 WHEN 'full_concept' THEN 1 ELSE 4 END"""
+
+
+def cognitive_efficiency(spark, sf_dir):
+    """Quality of each user's events over what they cost; every fifth user costs nothing."""
+    i = F.col("event_id")
+    rows = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(i % 7).alias("quality"), F.sum(F.when(F.col("user_id") % 5 == 0, 0).otherwise(i % 3 + 1)).alias("cost"))
+    return rows.select("user_id", F.round(P.cognitive_efficiency(F.col("quality"), F.col("cost")), 6).alias("efficiency"))
+
+
+EFFICIENCY_OF_USERS = "SELECT user_id, round(sum(event_id % 7)::DOUBLE / nullif(sum(CASE WHEN user_id % 5 = 0 THEN 0 ELSE event_id % 3 + 1 END), 0)::DOUBLE, 6) AS efficiency FROM events GROUP BY user_id"
+
+
 def assembly_nodes(spark, sf_dir):
     nodes = _candidates(spark, sf_dir).select("label", F.col("vec_id").alias("ref"), "activation", F.when(F.col("vec_id") % 2 == 0, "domain").otherwise("method").alias("role"))
     out = P.assembly(nodes, ["label"])
@@ -469,7 +549,13 @@ LEDGER = {
     "working_memory_latest": (working_memory_latest, WORKING_MEMORY),
     "prediction_error": (prediction_error, PREDICTION_ERROR),
     "edge_weights": (edge_weights, EDGE_WEIGHTS),
-    "ledger_stream_replay": (ledger_stream_replay, EDGE_WEIGHTS),
+    "ledger_stream_replay": (ledger_stream_replay, STREAM_REPLAY),
+    "ledger_resumed_stream": (ledger_resumed_stream, EDGE_WEIGHTS),
+    "ledger_events": (ledger_events, LEDGER_EVENTS),
+    "outcome_rewards": (outcome_rewards, OUTCOME_REWARDS),
+    "hypothesis_steps": (hypothesis_steps, HYPOTHESES),
+    "level_quotas": (level_quotas, LEVEL_QUOTAS),
+    "cognitive_efficiency": (cognitive_efficiency, EFFICIENCY_OF_USERS),
     "edge_insert_or_ignore": (edge_insert_or_ignore, INSERT_OR_IGNORE),
     "consolidate_status": (consolidate_status, CONSOLIDATE_STATUS),
     "consolidate_counts": (consolidate_counts, CONSOLIDATE_COUNTS),

@@ -74,45 +74,92 @@ def numbered_lines(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
 
 def lesson_index(lines: DataFrame, *keep: str) -> DataFrame:
     """(keep..., line_no, target, alias, kw_line, keywords) of lines '[[target|alias]] - kw1, kw2'; other lines go."""
-    pattern = r"\[\[([^\]]+)\]\]\s*[—-]+\s*(.+)$"
+    pattern = C.INDEX_LINE
     link, kw = F.regexp_extract("line", pattern, 1), F.regexp_extract("line", pattern, 2)
     parts = F.split(link, r"\|", 2)
     keys = F.filter(F.transform(F.split(kw, "[,/]"), lambda k: F.lower(F.trim(k))), lambda k: k != "")
     return lines.where(F.col("line").rlike(pattern)).select(*keep, "line_no", F.trim(F.element_at(parts, 1)).alias("target"), F.when(F.size(parts) > 1, F.element_at(parts, 2)).alias("alias"), F.trim(kw).alias("kw_line"), keys.alias("keywords"))
 
 
-def dashboard_fields(lines: DataFrame) -> DataFrame:
-    """(field, value) of lines '- **Field:** value'."""
-    p = r"^-\s*\*\*([^*]+):\*\*\s*(.*)$"
-    return lines.where(F.col("line").rlike(p)).select(F.regexp_extract("line", p, 1).alias("field"), F.regexp_extract("line", p, 2).alias("value"))
+def dashboard_fields(lines: DataFrame, *by: str) -> DataFrame:
+    """(by..., field, value) of lines '- **Field:** value'."""
+    p = C.FIELD_LINE
+    return lines.where(F.col("line").rlike(p)).select(*by, F.regexp_extract("line", p, 1).alias("field"), F.regexp_extract("line", p, 2).alias("value"))
 
 
 def log_entries(lines: DataFrame, *by: str) -> DataFrame:
     """(by..., line_no, date, label, text) of '* **Label**: text' lines under their '## date' heading, for each log (by)."""
-    date = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 100))), ignorenulls=True).over(W.partitionBy(*by).orderBy("line_no"))
-    p = r"^\*\s*\*\*([^*]+)\*\*:\s*(.*)$"
+    date = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substr("line", F.lit(4)))), ignorenulls=True).over(W.partitionBy(*by).orderBy("line_no"))
+    p = C.LOG_LINE
     return lines.withColumn("date", date).where(F.col("line").rlike(p)).select(*by, "line_no", "date", F.regexp_extract("line", p, 1).alias("label"), F.regexp_extract("line", p, 2).alias("text"))
 
 
-def directory_index(files: DataFrame, folder: str = "") -> DataFrame:
-    """(path, index): the folder's own index.md, else INDEX.md, else a listing of its entries by name."""
+def directory_entries(files: DataFrame, folder: str = "") -> DataFrame:
+    """(fn, line, lower, upper) of a folder's entries: its listing line, and the text of its own index.md and INDEX.md."""
     prefix = f"{folder.strip('/')}/" if folder else ""
-    inside = files.where(F.col("path").startswith(prefix)).select(F.substring("path", len(prefix) + 1, 10_000).alias("rest"), "text")
+    inside = files.where(F.col("path").startswith(prefix)).select(F.substr("path", F.lit(len(prefix) + 1)).alias("rest"), "text")
     parts = F.split("rest", "/")
-    is_dir = F.size(parts) > 1
     fn = F.element_at(parts, 1)
     about = F.coalesce(T.frontmatter(F.col("text"))["description"], F.lit(""))
-    line = F.when(is_dir, F.concat(F.lit("* "), fn, F.lit("/ - directory"))).otherwise(F.concat(F.lit("* ["), fn, F.lit("]("), fn, F.lit(") - "), about))
-    entries = inside.groupBy(fn.alias("fn")).agg(F.min(line).alias("line"), F.max(F.when(F.col("rest") == "index.md", F.col("text"))).alias("lower"), F.max(F.when(F.col("rest") == "INDEX.md", F.col("text"))).alias("upper"))
+    line = F.when(F.size(parts) > 1, F.concat(F.lit("* "), fn, F.lit("/ - directory"))).otherwise(F.concat(F.lit("* ["), fn, F.lit("]("), fn, F.lit(") - "), about))
+    return inside.groupBy(fn.alias("fn")).agg(F.min(line).alias("line"), F.max(F.when(F.col("rest") == "index.md", F.col("text"))).alias("lower"), F.max(F.when(F.col("rest") == "INDEX.md", F.col("text"))).alias("upper"))
+
+
+def directory_index(files: DataFrame, folder: str = "") -> DataFrame:
+    """(path, index): the folder's own index.md, else INDEX.md, else a listing of its entries by name.
+
+    The listing is one text, so its lines meet in one row; directory_entries() has them as rows.
+    """
+    entries = directory_entries(files, folder)
     shown = F.collect_list(F.when(~F.col("fn").startswith("."), F.struct("fn", "line")))
     whole = entries.agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"), F.array_sort(shown).alias("l"))
     made = F.concat_ws("\n", F.lit(f"# Index: {folder or '/'}"), F.transform("l", lambda x: x["line"]))
     return whole.select(F.lit(folder or "/").alias("path"), F.coalesce("lower", "upper", made).alias("index"))
 
 
-def point_read(files: DataFrame, path: str) -> DataFrame:
-    """(text) of one file, '' where it isn't there: dashboard, index and log reads."""
-    return files.where(F.col("path") == path).agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+def point_read(files: DataFrame, path: str, limit: int | None = None) -> DataFrame:
+    """(text) of one file, its first characters where there is a limit, '' where it isn't there: dashboard, index and log reads."""
+    text = F.coalesce(F.max("text"), F.lit(""))
+    return files.where(F.col("path") == path).agg((text if limit is None else F.left(text, F.lit(limit))).alias("text"))
+
+
+def get_concepts(requests: DataFrame, known: DataFrame, wanted: str = "wanted") -> DataFrame:
+    """requests with the concept they want by path or id: concept_id, type, description, tags, body, and error where
+    there is none. Missing keys are '' and an empty list."""
+    rows = requests.withColumn("concept_id", T.concept_id(F.col(wanted)))
+    found = known.select("concept_id", "type", "description", "tags", "body")
+    out = rows.join(found, "concept_id", "left")
+    return out.select(*requests.columns, "concept_id", "type", "description", "tags", "body", F.when(F.col("body").isNull(), "no such concept").alias("error"))
+
+
+def get_concept(known: DataFrame, path: str) -> dict:
+    """One concept by path or id; LookupError without one."""
+    spark = known.sparkSession
+    row = get_concepts(spark.range(1).select(F.lit(path).alias("wanted")), known).first()
+    if row.error:
+        raise LookupError(f"{row.error}: {path}")
+    return {"id": row.concept_id, "type": row.type, "description": row.description, "tags": list(row.tags), "body": row.body}
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each (path, text) as a file below root, on the executors; a file that is there is replaced, none is deleted.
+
+    files must not be read from what it replaces: writes.commit() sees to that.
+    """
+
+    def save(rows) -> None:
+        import pyarrow.fs as pafs
+
+        fs, base = None, None
+        for row in rows:
+            if fs is None:
+                fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+            at = f"{base.rstrip('/')}/{row.path}"
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at) as f:
+                f.write(row.text.encode())
+
+    files.select("path", "text").foreachPartition(save)
 
 
 def read_events(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:

@@ -1,23 +1,24 @@
-"""The event ledger as a stream of segments, and edge weights kept in keyed state.
+"""The event ledger as a stream of segments, and edge weights kept up with it.
 
-A file stream doesn't see lines appended to a file it has read, so every append is a new segment. Within a micro-batch an
-edge's updates are put in sequence before folding; across micro-batches the order is that of the segments.
+A ledger is JSON lines in files that are only ever added: a file stream doesn't see lines appended to a file it has
+read, so every append is a new segment. Each micro-batch folds its updates, on the executors and in order, to one step
+per edge (learning.weight_steps) and overwrites its own folder of steps, so a batch that is run again after a failure
+leaves the same rows; across micro-batches the order is that of the segments. An edge's weight is its batches' steps
+composed, from the weight it started with. Nothing of an edge's history is held in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
+from ..operators import learning as L
 from ..sources.storage import shared_path
 
 UPDATE_SCHEMA = "source string, target string, relation string, reward double, eligibility double, confidence double, independence double, at long, seq long"
-WEIGHT_SCHEMA = "source string, target string, relation string, weight double, success_count long, failure_count long"
 KEY = ["source", "target", "relation"]
+STEP_SCHEMA = f"source string, target string, relation string, s {L.STEP}, up long, down long"
 
 
 def append_segment(events: DataFrame, ledger: str) -> None:
@@ -28,58 +29,29 @@ def append_segment(events: DataFrame, ledger: str) -> None:
 
 
 def stream_segments(spark: SparkSession, ledger: str, schema: str, per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    """The ledger's segments as they come; a malformed line fails the stream."""
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(ledger)
-
-
-class WeightFold(StatefulProcessor):
-    """State of an edge: weight and counters; an edge starts at the given weight when its first update comes."""
-
-    def __init__(self, start: float):
-        self.start = start
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("edge", "weight double, up long, down long")
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        new = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        w, up, down = self.state.get() if self.state.exists() else (self.start, 0, 0)
-        for r, e, c, i in new[["reward", "eligibility", "confidence", "independence"]].itertuples(index=False):
-            if e < C.MIN_ELIGIBILITY:
-                continue
-            w = max(0.0, min(C.WEIGHT_MAX, w + (C.POSITIVE_RATE if r >= 0 else C.NEGATIVE_RATE) * r * e * c * i))
-            up, down = (up + 1, down) if r >= 0 else (up, down + 1)
-        self.state.update((w, int(up), int(down)))
-        yield pd.DataFrame({"source": [key[0]], "target": [key[1]], "relation": [key[2]], "weight": [w], "success_count": [int(up)], "failure_count": [int(down)]})
-
-    def close(self) -> None:
-        pass
+    return reader.json(ledger)
 
 
-def stream_weights(updates: DataFrame, start: float) -> DataFrame:
-    return updates.groupBy(*KEY).transformWithStateInPandas(WeightFold(start), outputStructType=WEIGHT_SCHEMA, outputMode="Update", timeMode="None")
+def steps(spark: SparkSession, sink: str) -> DataFrame:
+    """(key, s, up, down) of each edge over all batches in the sink."""
+    rows = spark.read.schema(f"{STEP_SCHEMA}, batch int").parquet(sink)
+    return L.compose(rows, KEY, "batch")
 
 
-def replay(spark: SparkSession, ledger: str, start: float, checkpoint: str | None = None, sink: str | None = None, per_batch: int | None = None) -> DataFrame:
-    """Drain the ledger's segments and give each edge's latest weight; a checkpoint that is given again resumes."""
+def replay(spark: SparkSession, ledger: str, edges: DataFrame, checkpoint: str | None = None, sink: str | None = None, per_batch: int | None = None) -> DataFrame:
+    """Drain the ledger's new segments and give the edges (key, weight, success_count, failure_count) after all updates
+    so far; edges are those at the ledger's beginning, updates of others do nothing. A checkpoint and sink that are given
+    again resume."""
     checkpoint = checkpoint or shared_path(spark, "ledger-checkpoint")
-    sink = sink or shared_path(spark, "ledger-weights")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    held = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sink = sink or shared_path(spark, "ledger-steps")
 
     def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        L.weight_steps(batch, KEY, ["at", "seq"]).write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
-    try:
-        out = stream_weights(stream_segments(spark, ledger, UPDATE_SCHEMA, per_batch), start)
-        out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    finally:
-        spark.conf.unset(provider) if held is None else spark.conf.set(provider, held)
-    rows = spark.read.schema(f"{WEIGHT_SCHEMA}, batch int").parquet(sink)
-    last = rows.groupBy(*KEY).agg(F.max_by(F.struct("weight", "success_count", "failure_count"), "batch").alias("r"))
-    return last.select(*KEY, "r.*")
+    query = stream_segments(spark, ledger, UPDATE_SCHEMA, per_batch).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query.foreachBatch(save).start().awaitTermination()
+    return L.apply_steps(edges, steps(spark, sink), KEY)

@@ -220,15 +220,25 @@ def test_text_edits(spark):
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
-    rows = [(s, [(0.9 if (k + n) % 3 else -1.0, 1.0, 1.0, 1.0) for n in range(9)]) for k, s in enumerate("AB")]
+    """Append, replay, append, replay: as the batch fold; updates of edges that aren't there do nothing."""
+    rows = [(s, [(0.9 if (k + n) % 3 else -1.0, 1.0, 1.0, 1.0) for n in range(9)]) for k, s in enumerate("ABX")]
     u = _updates(spark, rows).withColumn("at", F.col("seq"))
+    edges = _edges(spark, [("A", 0.4), ("B", 0.4), ("still", 0.3)])
     path, check, sink = (f"{tmp_path}/{x}" for x in ("ledger", "check", "sink"))
-    u.where("seq < 5").coalesce(1).write.parquet(path)
-    ledger.replay(spark, path, 0.4, check, sink)
-    u.where("seq >= 5").coalesce(1).write.mode("append").parquet(path)
-    got = {r.source: (round(r.weight, 9), r.success_count, r.failure_count) for r in ledger.replay(spark, path, 0.4, check, sink).collect()}
-    want = {s: fold(0.4, us) for s, us in rows}
-    assert got == {s: (round(w, 9), a, b) for s, (w, a, b) in want.items()}
+    ledger.append_segment(u.where("seq < 5").coalesce(1), path)
+    ledger.replay(spark, path, edges, check, sink)
+    ledger.append_segment(u.where("seq >= 5").coalesce(1), path)
+    got = {r.source: (round(r.weight, 9), r.success_count, r.failure_count) for r in ledger.replay(spark, path, edges, check, sink).collect()}
+    want = {s: fold(0.4, us) for s, us in rows if s != "X"}
+    assert got == {s: (round(w, 9), a, b) for s, (w, a, b) in want.items()} | {"still": (0.3, 0, 0)}
+
+
+def test_hot_edge_is_folded_in_ranges(spark):
+    updates = [((n % 7 - 3) / 3, 1.0, 1.0, 1.0) for n in range(3000)]
+    u = _updates(spark, [("A", updates)])
+    got = L.edge_weights(u, _edges(spark, [("A", 0.4)]), ledger.KEY, ["seq"]).first()
+    w, up, down = fold(0.4, updates)
+    assert got.weight == pytest.approx(w, abs=1e-9) and (got.success_count, got.failure_count) == (up, down)
 
 
 def test_append_segment(spark, tmp_path):
@@ -237,3 +247,79 @@ def test_append_segment(spark, tmp_path):
     ledger.append_segment(ev.where("event_id = 'e2'"), f"{tmp_path}/l")
     got = bundle.read_events(spark, f"{tmp_path}/l", "s")
     assert got.count() == 2 and {len(r.summary) for r in got.collect()} == {280, 1}
+
+
+def test_patches_of_one_concept_in_a_batch(spark, root):
+    files = bundle.read_files(spark, root)
+    p = spark.createDataFrame([("Knowledge/sample", "two", 2), ("/Knowledge/sample.md", "one", 1), ("Knowledge/sample", "password: abc", 3)], "concept_id string, patch string, ord int")
+    ok, bad = W.update_concept(_author(p), files, "2024-05-05")
+    (r,) = ok.collect()
+    assert r.document.endswith("about a sprocket\n\none\n\ntwo\n") and r.log_line.count("\n") == 1 and bad.count() == 1
+
+
+def test_a_proposal_is_approved_once_in_a_batch(spark):
+    ok, _ = W.new_rule(_author(spark.createDataFrame([("r", "why")], "rule string, rationale string")), "2024-05-05")
+    row = ok.first()
+    req = spark.createDataFrame([(row.proposal_id, True, 2), (row.proposal_id + ".md", True, 1), (row.proposal_id, False, 0)], "proposal_id string, is_admin boolean, ord int")
+    done, bad = W.approve(req, spark.createDataFrame([(row.path, row.document)], "path string, text string"))
+    assert [r.ord for r in done.collect()] == [1] and sorted(r.error for r in bad.collect()) == ["admin privilege required", "proposal is not pending"]
+
+
+def test_free_numbers(spark):
+    import random
+
+    rng = random.Random(3)
+    taken = {s: set(rng.sample(range(1, 30), rng.randint(0, 20))) for s in "abc"}
+    rows = spark.createDataFrame([(s, i) for s in "abcd" for i in range(rng.randint(1, 25))], "s string, i int")
+    t = spark.createDataFrame([(s, n) for s, ns in taken.items() for n in ns] * 2, "s string, n int")
+    got = {}
+    for r in W.free_numbers(rows, t, "s", "i").orderBy("s", "i").collect():
+        got.setdefault(r.s, []).append(r.n)
+    for s, ns in got.items():
+        free = [n for n in range(1, 100) if n not in taken.get(s, ())]
+        assert ns == free[: len(ns)]
+
+
+def test_get_concept(spark, root):
+    known = bundle.concepts(bundle.read_files(spark, root))
+    got = bundle.get_concept(known, "Skills\\example-skill")
+    assert (got["id"], got["type"], got["tags"], got["body"]) == ("Skills/example-skill.md", "Skill", ["sprocket", "gear"], "## Use\nsteps")
+    with pytest.raises(LookupError):
+        bundle.get_concept(known, "Skills/none")
+    with pytest.raises(LookupError):
+        bundle.get_concept(known, "../x")
+    assert [r.concept_id for r in R.find_skill(bundle.concepts(bundle.read_files(spark, root)), "sprocket").collect()] == ["Skills/example-skill.md"]
+
+
+def test_writes_are_applied(spark, root, tmp_path):
+    """A batch of every kind of write, written as files and read again."""
+    files = bundle.read_files(spark, root)
+    lesson, _ = W.new_lesson(_author(spark.createDataFrame([("demo", "new", "be careful", ["k1"], 1), ("demo", "newer", "be quick", ["k2"], 2)], "area string, slug string, content string, keywords array<string>, ord int")), files)
+    skill, _ = W.new_skill(_author(spark.createDataFrame([("One", "do it")], "name string, content string")), files, "2024-05-05")
+    patch, _ = W.update_concept(_author(spark.createDataFrame([("Knowledge/sample", "more")], "concept_id string, patch string")), files, "2024-05-05")
+    session, _ = W.log_session(_author(spark.createDataFrame([(1, HEAD.format(t="Session", d="s", g="x") + "# 2024-01-02 Day\n")], "ord int, handoff string")), files, "2024-05-05")
+    docs = skill.select("path", "document", "log_line", "ord").unionByName(patch.select("path", "document", "log_line", "ord"))
+    from brindle.operators import writes
+
+    before = files.count()
+    assert writes.commit(writes.apply(files, "2024-05-05", documents=docs, lessons=lesson, sessions=session), root) == 7
+    now = {r.path: r.text for r in bundle.read_files(spark, root).collect()}
+    assert now["Lessons/demo/problems.md"].endswith("## existing\ngear trouble\n\n## new\nbe careful\n\n## newer\nbe quick\n")
+    assert "## demo\n- [[demo/problems]] — k2\n- [[demo/problems]] — k1\n- [[demo/problems|P]]" in now["Lessons/INDEX.md"]
+    assert now["Skills/one.md"].endswith("# One\n\ndo it\n") and now["Knowledge/sample.md"].endswith("\n\nmore\n") and "Sessions/2024-01-02-day.md" in now
+    log = now["log.md"].split("\n")
+    assert log[:2] == ["# Log", "## 2024-01-02"] and sum(x.startswith("* **") for x in log) == 7 and log[2].startswith("* **Update**: Session")
+    assert "- **Updated:** 2024-05-05\n" in now["Dashboard.md"] and now["no header.md"] == "sprocket"
+    assert len(now) == before + 2
+
+
+def test_keywords_between_words(spark):
+    """Keywords without a letter: only what stands between two words counts, as a word pattern has it."""
+    import re
+
+    prompts = ["a++b", "a ++ b", "c++", "x, y", "x , y", "é, z", "n/a n/ a", ""]
+    keys = ["++", ", ", "/", " ", " ++ ", ",", "n/a", "é,", "c++"]
+    p = spark.createDataFrame([(str(i), x) for i, x in enumerate(prompts)], "prompt_id string, prompt string")
+    index = spark.createDataFrame([(i, f"t{i}", [k]) for i, k in enumerate(keys)], "line_no int, target string, keywords array<string>")
+    got = {(int(r.prompt_id), r.target) for r in R.matched_lessons(p, index, index.select("target"), most=99).collect()}
+    assert got == {(i, f"t{j}") for i, x in enumerate(prompts) for j, k in enumerate(keys) if re.search(rf"\b{re.escape(k)}\b", x)}
