@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, trained from document labels.
 
 A document is a bag of sentences. Each sentence has odds exp(w.x + b) over its words and word beginnings, and a chance q
-to make its document toxic: what these odds add to those of a sentence without any known feature, so that such sentences
-add nothing, however many there are. The document is toxic with probability 1 - (1 - sigmoid(b)) * prod(1 - q). Only
-documents are labelled; the likelihood of the bag trains the sentence weights, so the sentences that carry a document's
-toxicity can be located afterwards.
+to make its document toxic: what these odds add to those of a sentence without any known feature. Sentences as such make
+a background that saturates with their number, m = 1 + n * 100 / (n + 100), so that no clean text is toxic by its length.
+The document is toxic with probability 1 - (1 - sigmoid(b)) ** m * prod(1 - q). Only documents are labelled; the
+likelihood of the bag trains the sentence weights, so the sentences that carry a document's toxicity can be located
+afterwards.
 
-Defined results: a null text counts as empty; an empty text, like one without known features, scores sigmoid(b).
+Defined results: a null text counts as empty; an empty text has no sentence and scores sigmoid(b).
 Repeated rows are scored alike. Without labels of both classes the model knows only its prior and rejects nothing.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, materialise, per_document, table
+from .common import held_out, labelled_sample, materialise, per_document, scratch, table
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,20 +98,21 @@ def screen(sample: DataFrame, config: ToxicityConfig) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), label: str = "toxic") -> ToxicityModel:
     """Fit on a bounded sample of labelled rows: executors turn its texts into feature numbers, the driver fits."""
-    sample = materialise(labelled_sample(docs, labels, label, config.sample_per_class), "toxicity-sample")
-    names = screen(sample, config)
-    number = {f: i for i, f in enumerate(names)}
-
-    def bags(cols):
-        y, size, body = [], [], []
-        for text, v in zip(cols["text"], cols["y"], strict=True):
-            bag = [sorted(number[f] for f in s if f in number) for s in _sentence_features(text)]
-            y.append(v)
-            size.append(np.array([len(s) for s in bag], "<u4").tobytes())
-            body.append(np.array([i for s in bag for i in s], "<u4").tobytes())
-        return {"y": y, "size": size, "body": body}
-
-    rows = per_document(sample, ["text", "y"], bags, "y int, size binary, body binary").collect()
+    with scratch(docs.sparkSession):
+        sample = materialise(labelled_sample(docs, labels, label, config.sample_per_class), "toxicity-sample")
+        names = screen(sample, config)
+        number = {f: i for i, f in enumerate(names)}
+
+        def bags(cols):
+            y, size, body = [], [], []
+            for text, v in zip(cols["text"], cols["y"], strict=True):
+                bag = [sorted(number[f] for f in s if f in number) for s in _sentence_features(text)]
+                y.append(v)
+                size.append(np.array([len(s) for s in bag], "<u4").tobytes())
+                body.append(np.array([i for s in bag for i in s], "<u4").tobytes())
+            return {"y": y, "size": size, "body": body}
+
+        rows = per_document(sample, ["text", "y"], bags, "y int, size binary, body binary").collect()
     if len({r.y for r in rows}) < 2 or not names:
         return ToxicityModel(config.start_bias)
     rows.sort(key=lambda r: (r.y, r.body, r.size))
@@ -123,6 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     return ToxicityModel(b, {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3})
 
 
+#: Sentences at which a document's background is half of its bound.
+HALF = 100
+
+
+def background(n):
+    """How many times the odds of a sentence without features count in a document of n sentences: under HALF + 1."""
+    return 1 + n * HALF / (n + HALF)
+
+
 def likelihood(w, b, ids, sent_of, sent_doc, y):
     """(mean log loss of the bags, its gradient by w and b)."""
     n_doc = len(y)
@@ -130,12 +141,13 @@ def likelihood(w, b, ids, sent_of, sent_doc, y):
     soft, soft_b = np.logaddexp(0, z), np.logaddexp(0, b)
     p, p_b = np.exp(z - soft), math.exp(b - soft_b)
     counts = z > b
-    total = soft_b + np.bincount(sent_doc, np.where(counts, soft - soft_b, 0.0), n_doc)
+    times = background(np.bincount(sent_doc, minlength=n_doc))
+    total = soft_b * times + np.bincount(sent_doc, np.where(counts, soft - soft_b, 0.0), n_doc)
     toxic = np.maximum(-np.expm1(-total), 1e-12)
     # of the loss by total: of a clean bag 1, of a toxic one minus its odds of being clean
     pull = np.where(y == 1, -np.exp(-total) / toxic, 1.0)
     g = np.where(counts, p * pull[sent_doc], 0.0)
-    by_b = (p_b * pull).sum() + (np.where(counts, p - p_b, 0.0) * pull[sent_doc]).sum()
+    by_b = (p_b * times * pull).sum() + (np.where(counts, p - p_b, 0.0) * pull[sent_doc]).sum()
     loss = np.where(y == 1, -np.log(toxic), total).mean()
     return loss, np.append(np.bincount(ids, g[sent_of], len(w)), by_b) / n_doc
 
@@ -181,8 +193,9 @@ class _Scorer:
         """(noisy-or of the sentences, span of the worst sentence)."""
         bias = self.model.bias
         base = math.log1p(math.exp(bias))
-        clean, worst, where = base, -math.inf, None
-        for a, b in sentences(text):
+        spans = sentences(text)
+        clean, worst, where = base * background(len(spans)), -math.inf, None
+        for a, b in spans:
             z = self.sentence(text[a:b].lower())
             if z > bias:
                 clean += (math.log1p(math.exp(z)) if z < 30 else z) - base

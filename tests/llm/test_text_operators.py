@@ -397,7 +397,8 @@ def test_toxicity_is_a_noisy_or():
             words = set(re.findall(r"[^\W\d_]+", part.lower()))
             z = sum(model.weights.get(w, 0) + sum(model.weights.get(w[:k] + "*", 0) for k in (3, 4, 5, 6) if len(w) > k) for w in words)
             odds.append((1 + math.exp(model.bias)) / (1 + math.exp(model.bias + max(z, 0))))
-        return 1 - (1 - 1 / (1 + math.exp(-model.bias))) * math.prod(odds)
+        n = len([x for x in re.split(r"(?<=[.!?])\s+|[\n\r]+", text) if x])
+        return 1 - (1 - 1 / (1 + math.exp(-model.bias))) ** (1 + n * 100 / (n + 100)) * math.prod(odds)
 
     for text in ("", "Plain.", "A vile thing. So kind!\nYou fool? fine", "vile " * 50, "kind. " * 9 + "Fools and vilest fool.", "None. " * 5000):
         assert TX._Scorer(model).document(text)[0] == pytest.approx(plain(text), rel=1e-9)
