@@ -8,6 +8,7 @@ writes count in the order of their ord column, where they have one.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -186,3 +187,62 @@ def insert_after_heading(text: Column, heading: Column, line: Column) -> Column:
     at = F.array_position(F.transform(ls, T.stripped), heading).cast("int")
     with_it = F.concat(F.slice(ls, F.lit(1), at), F.array(line), F.slice(ls, at + 1, F.greatest(F.size(ls) - at, F.lit(0))))
     return F.concat(F.array_join(F.when(at > 0, with_it).otherwise(F.concat(ls, F.array(F.lit(""), heading, line))), "\n"), F.lit("\n"))
+
+
+def _inserted(text: str, headings: list[str | None], lines: list[str | None]) -> str:
+    """Text after each line in turn was put after the first line that is its heading, or at the end in a new section.
+
+    The text is split once and joined once. A line that is one of the headings is a list that takes what is put after it,
+    and has a place; places compare as the lines stand: of what is put after a line, the latest comes first. As the text
+    would be split again for each line, line ends within all but the last count as line ends.
+    """
+    wanted, first = set(headings), {}
+
+    def placed(added: list[str], place: tuple[int, ...]) -> list:
+        out = []
+        for i, line in enumerate(added):
+            name = line.strip()
+            if name in wanted:
+                line = [line]
+                if name not in first or (*place, i) < first[name][0]:
+                    first[name] = (*place, i), line
+            out.append(line)
+        return out
+
+    end = text.splitlines()
+    before = len(end)
+    end = placed(end, ())
+    for n, (heading, line) in enumerate(zip(headings, lines, strict=True), 1):
+        at = first.get(heading)
+        added = [x for x in ([line] if at else ["", heading, line]) if x is not None]
+        if n < len(headings):
+            added = [y for x in added for y in f"{x}\n".splitlines()]
+            added = placed(added, (*at[0], -n) if at else (before + n,))
+        if at:
+            at[1].append(added)
+        else:
+            end += added
+    out, left = [], [iter(end)]
+    while left:
+        for x in left[-1]:
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                out.append(x[0])
+                left.append(y for added in reversed(x[1:]) for y in added)
+                break
+        else:
+            left.pop()
+    return "\n".join(out) + "\n"
+
+
+def insert_after_headings(text: Column, headings: Column, lines: Column) -> Column:
+    """Text with each of the lines, in their order, after the first line that is its heading; a new section at the end
+    without it. One pass over text and lines."""
+
+    @F.arrow_udf("string")
+    def inserted(texts: pa.Array, headings: pa.Array, lines: pa.Array) -> pa.Array:
+        rows = zip(texts, headings, lines, strict=True)
+        return pa.array([_inserted(t.as_py(), h.as_py(), x.as_py()) if t.is_valid and x.is_valid else None for t, h, x in rows], pa.string())
+
+    return inserted(text, headings, lines)

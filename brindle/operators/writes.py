@@ -17,7 +17,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..sources.bundle import write_files
 from ..sources.storage import shared_path
-from .proposals import insert_after_heading, prepend_log, replace_field
+from .proposals import insert_after_headings, prepend_log, replace_field
 
 LOG, DASHBOARD, LESSONS, SESSIONS, RULES = "log.md", "Dashboard.md", "Lessons/INDEX.md", "Sessions/index.md", "rules/working-rules.md"
 
@@ -40,7 +40,8 @@ def apply(files: DataFrame, today: str, documents: DataFrame | None = None, less
         out = _with_sections(out, _by_path(lessons, "sections", "append"))
         lines = lessons.select(F.lit(LESSONS).alias("path"), "ord", "index_heading", "index_line")
         out = out.join(_by_path(lines, "lines", "index_heading", "index_line"), "path", "left")
-        placed = F.aggregate("lines", F.col("text"), lambda t, x: insert_after_heading(t, x["index_heading"], x["index_line"]))
+        index = F.when(F.col("lines").isNotNull(), F.col("text"))
+        placed = insert_after_headings(index, F.transform("lines", lambda x: x["index_heading"]), F.transform("lines", lambda x: x["index_line"]))
         out = out.withColumn("text", F.when(F.col("lines").isNotNull(), placed).otherwise(F.col("text"))).drop("lines")
     if sessions is not None:
         out = _with_lines(out, _by_path(sessions.select(F.lit(SESSIONS).alias("path"), "ord", "index_line"), "lines", "index_line"))

@@ -323,3 +323,47 @@ def test_keywords_between_words(spark):
     index = spark.createDataFrame([(i, f"t{i}", [k]) for i, k in enumerate(keys)], "line_no int, target string, keywords array<string>")
     got = {(int(r.prompt_id), r.target) for r in R.matched_lessons(p, index, index.select("target"), most=99).collect()}
     assert got == {(i, f"t{j}") for i, x in enumerate(prompts) for j, k in enumerate(keys) if re.search(rf"\b{re.escape(k)}\b", x)}
+
+
+def test_index_lines_of_a_batch():
+    """Lines put into an index at once stand as if put there one by one, odd headings and line ends included."""
+    import random
+
+    def one(text, heading, line):
+        out, done = [], False
+        for x in text.splitlines():
+            out.append(x)
+            if not done and x.strip() == heading:
+                out.append(line)
+                done = True
+        return "\n".join(out if done else [*out, "", heading, line]) + "\n"
+
+    rng = random.Random(7)
+    bits = ["## a", "## b", " ## a ", "## c", "x", "", "\n", "\r", "\r\n", "\u2028", "\x1f", "- l"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 8)))
+        n = rng.randint(1, 9)
+        headings = rng.choices(["## a", "## b", "## c", "## a ", "## a\n## b", "x", ""], k=n)
+        lines = [f"- {i}" if rng.random() < 0.4 else "".join(rng.choices(bits, k=rng.randint(0, 5))) for i in range(n)]
+        want = text
+        for h, x in zip(headings, lines, strict=True):
+            want = one(want, h, x)
+        assert W._inserted(text, headings, lines) == want, (text, headings, lines)
+
+
+def test_many_lessons_in_one_batch(spark):
+    """Thousands of index lines of one batch: their time grows with their number, not with its square."""
+    import time
+
+    from brindle.operators import writes
+
+    n = 12_000
+    files = spark.createDataFrame([("Lessons/INDEX.md", "# Index\n## a0\n- old\n"), ("Lessons/a0/problems.md", "x\n"), ("Lessons/a1/problems.md", "x\n")], "path string, text string")
+    area = F.concat(F.lit("a"), (F.col("id") % 2).cast("string"))
+    row = spark.range(n).select(F.concat(F.lit("Lessons/"), area, F.lit("/problems.md")).alias("path"), F.lit("\n## s\nb\n").alias("append"), F.concat(F.lit("## "), area).alias("index_heading"), F.concat(F.lit("- "), F.col("id").cast("string")).alias("index_line"), F.col("id").alias("ord"))
+    began = time.time()
+    got = {r.path: r.text for r in writes.apply(files, "2024-05-05", lessons=row).collect()}
+    assert time.time() - began < 60
+    even, odd = (("\n".join(f"- {i}" for i in range(n - 2 + k, -1, -2))) for k in (0, 1))
+    assert got["Lessons/INDEX.md"] == f"# Index\n## a0\n{even}\n- old\n\n## a1\n{odd}\n"
+    assert got["Lessons/a0/problems.md"] == "x\n" + "\n## s\nb\n" * (n // 2)
