@@ -33,6 +33,11 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows if "ord" in rows.columns else rows.withColumn("ord", F.lit(0))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all tasks: the gates cost far more than reading narrow rows, which one task may read."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _secret(*fields: Column) -> Column:
     return G.secret_reason(F.concat_ws("\n", *fields))
 
@@ -42,7 +47,7 @@ def new_lesson(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
     kind = T.lesson_kind(F.col("content"))
     body = T.stripped(F.regexp_replace("content", C.LESSON_KIND_LINE, ""))
     path = F.concat(F.lit("Lessons/"), F.col("area"), F.lit("/"), kind, F.lit(".md"))
-    rows = _ordered(candidates).withColumns({"path": path, "section_body": body}).join(files.select("path", F.col("text").alias("existing")), "path", "left")
+    rows = _spread(_ordered(candidates)).withColumns({"path": path, "section_body": body}).join(files.select("path", F.col("text").alias("existing")), "path", "left")
     ok, bad = split(
         rows,
         _author_error(),
@@ -79,7 +84,7 @@ def bump_timestamp(text: Column, today: str) -> Column:
 def update_concept(patches: DataFrame, files: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """patches (concept_id, patch, author_*): each concept once, with all its accepted patches appended in order (ord, then
     patch) and a new timestamp. log_line has a line for each patch, the last on top; the author is the last one's."""
-    rows = _ordered(patches).withColumn("path", T.concept_id(F.col("concept_id"))).join(files.select("path", F.col("text").alias("existing")), "path", "left")
+    rows = _spread(_ordered(patches)).withColumn("path", T.concept_id(F.col("concept_id"))).join(files.select("path", F.col("text").alias("existing")), "path", "left")
     ok, bad = split(rows, _author_error(), F.when(G.protected(F.col("concept_id")), "protected target"), F.when(F.col("existing").isNull(), "no such concept"), _secret(F.col("patch")), G.violation(bump_timestamp(F.col("existing"), today)))
     one = F.struct("ord", "patch", "author_name", "author_email")
     whole = ok.groupBy("path").agg(F.first("existing").alias("existing"), F.array_sort(F.collect_list(one)).alias("all"))

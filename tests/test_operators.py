@@ -367,3 +367,14 @@ def test_many_lessons_in_one_batch(spark):
     even, odd = (("\n".join(f"- {i}" for i in range(n - 2 + k, -1, -2))) for k in (0, 1))
     assert got["Lessons/INDEX.md"] == f"# Index\n## a0\n{even}\n- old\n\n## a1\n{odd}\n"
     assert got["Lessons/a0/problems.md"] == "x\n" + "\n## s\nb\n" * (n // 2)
+
+
+def test_gates_run_in_many_tasks(spark):
+    """The gates of rows that one task reads run in many tasks."""
+    rows = spark.range(4000).coalesce(1)
+    files = F.broadcast(spark.range(1).select(F.lit("Knowledge/a.md").alias("path"), F.lit("x").alias("text")))
+    _, bad = W.update_concept(_author(rows.select(F.lit("Knowledge/b").alias("concept_id"), F.lit("p").alias("patch"), F.col("id").alias("ord"))), files, "2024-05-05")
+    assert sorted(r["count"] for r in bad.groupBy(F.spark_partition_id().alias("task")).count().collect())[-1] <= 2000
+    lessons = rows.select(F.lit("b").alias("area"), F.lit("s").alias("slug"), F.lit("c").alias("content"), F.array(F.lit("k")).alias("keywords"), F.col("id").alias("ord"))
+    _, bad = W.new_lesson(_author(lessons), files)
+    assert sorted(r["count"] for r in bad.groupBy(F.spark_partition_id().alias("task")).count().collect())[-1] <= 2000
