@@ -52,27 +52,28 @@ def find_lesson(index: DataFrame, keyword: str, limit: int = 10) -> DataFrame:
 def matched_lessons(prompts: DataFrame, index: DataFrame, existing: DataFrame, most: int = C.MAX_LESSONS) -> DataFrame:
     """(prompt_id, target, score, rank): index lines by how many of their keywords stand in the prompt as words.
 
-    Lines whose lesson doesn't exist go; of lines to one lesson the best ranked stays. Keywords of word characters only
-    meet the prompt's tokens in an equi join. Of any other keyword, its first token must be a token of the prompt: that
-    joins, and the keyword as a whole is then looked for with a pattern. A keyword without a letter or digit stands as
-    a word only where it is all that lies between two words, so it meets these gaps in an equi join.
+    Lines whose lesson doesn't exist go; of lines to one lesson the best ranked stays. One equi join takes all keywords
+    to the prompts: those of word characters only meet the prompt's tokens; of any other keyword, its first token must be
+    a token of the prompt, and the keyword as a whole is then looked for with a pattern. A keyword without a letter or
+    digit stands as a word only where it is all that lies between two words, so it meets these gaps. The keywords are made
+    and read once; lessons that don't exist go when the hits are counted.
     """
     low = prompts.select("prompt_id", F.lower("prompt").alias("low"))
-    lines = index.join(existing.select("target"), "target", "left_semi")
-    keys = lines.select("line_no", "target", F.posexplode("keywords").alias("k", "key"))
-    distinct = keys.select("key").distinct()
-    plain = F.col("key").rlike("^[a-z0-9_]+$")
-    tokens = low.select("prompt_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("key"))
-    by_token = tokens.join(distinct, "key").select("prompt_id", "key")
+
+    def met(kind: int, pattern: str, text: Column) -> DataFrame:
+        found = F.array_distinct(F.regexp_extract_all("low", F.lit(pattern), F.lit(0)))
+        return low.select("prompt_id", text.alias("low"), F.lit(kind).alias("kind"), F.explode(found).alias("by"))
+
+    none = F.lit(None).cast("string")
+    asked = met(0, "[a-z0-9_]+", none).unionByName(met(1, r"(?U)\w+", F.col("low"))).unionByName(met(2, r"(?U)(?<=\w)\W+(?=\w)", none))
     first = F.regexp_extract("key", r"(?U)\w+", 0)
-    others = distinct.where(~plain).select("key", first.alias("first"))
-    all_tokens = low.select("prompt_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("first"))
-    stands = F.expr(r"rlike(low, concat('(?U)\\b\\Q', key, '\\E\\b'))")
-    by_first = all_tokens.join(others.where("first <> ''"), "first").where(stands).select("prompt_id", "key")
-    gaps = F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)(?<=\w)\W+(?=\w)"), F.lit(0)))
-    by_all = low.select("prompt_id", F.explode(gaps).alias("key")).join(others.where("first = ''").select("key"), "key").select("prompt_id", "key")
-    by_pattern = by_first.unionByName(by_all).distinct()
-    hits = by_token.unionByName(by_pattern).join(keys, "key").groupBy("prompt_id", "line_no", "target").agg(F.count(F.lit(1)).alias("score"))
+    keys = index.select("line_no", "target", F.explode("keywords").alias("key"))
+    keys = keys.withColumn("first", F.when(F.col("key").rlike("^[a-z0-9_]+$"), None).otherwise(first))
+    kind = F.when(F.col("first").isNull(), 0).when(F.col("first") != "", 1).otherwise(2)
+    keys = keys.select("line_no", "target", "key", kind.alias("kind"), F.when(kind == 1, F.col("first")).otherwise(F.col("key")).alias("by"))
+    stands = F.expr(r"kind <> 1 or (contains(low, key) and rlike(low, concat('(?U)\\b\\Q', key, '\\E\\b')))")
+    both = keys.join(asked, ["kind", "by"]).where(stands)
+    hits = both.groupBy("prompt_id", "line_no", "target").agg(F.count(F.lit(1)).alias("score")).join(existing.select("target"), "target", "left_semi")
     best = W.partitionBy("prompt_id", "target").orderBy(F.desc("score"), "line_no")
     once = hits.withColumn("n", F.row_number().over(best)).where("n = 1")
     rank = F.row_number().over(W.partitionBy("prompt_id").orderBy(F.desc("score"), "line_no"))

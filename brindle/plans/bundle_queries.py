@@ -389,12 +389,15 @@ FROM (SELECT c.conv_id, c.turn, c.role, (SELECT max(d.turn) FROM conversations d
 
 def prompt_context(spark, sf_dir):
     """Each benchmark prompt's context: rules, a dashboard, its best lessons and its best document that is none of
-    these, under the budget."""
-    prompts, matched = _prompts(spark, sf_dir), _matched(spark, sf_dir)
+    these, under the budget. A prompt has three of these at most: they go to the documents, whose texts are not shuffled.
+    The lessons are needed twice, so they are written and read."""
+    prompts, chosen, path = _prompts(spark, sf_dir), _matched(spark, sf_dir), shared_path(spark, "matched")
+    chosen.write.parquet(path)
+    matched = spark.read.schema(chosen.schema).parquet(path)
     d = _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
-    best = R.matched_concepts(prompts, d.select("path", F.col("text").alias("hay")), exclude=matched.select("prompt_id", F.col("target").alias("path")))
-    concepts = best.join(d, "path").select("prompt_id", "path", "rank", "text")
-    lessons = matched.join(d.withColumnRenamed("path", "target"), "target").select("prompt_id", "target", "rank", F.left("text", F.lit(1500)).alias("chunk"))
+    best = R.matched_concepts(prompts, d.select("path", F.col("text").alias("hay")), exclude=F.broadcast(matched.select("prompt_id", F.col("target").alias("path"))))
+    concepts = F.broadcast(best).join(d, "path").select("prompt_id", "path", "rank", "text")
+    lessons = F.broadcast(matched).join(d.withColumnRenamed("path", "target"), "target").select("prompt_id", "target", "rank", F.left("text", F.lit(1500)).alias("chunk"))
     out = B.assemble(B.prompt_parts(prompts, "idle", lessons, concepts, rules="Be brief."), ["prompt_id"], "ordinal", "part")
     return out.select("prompt_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").cast("long").alias("n_chars"))
 

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brindle.functions import gates as G
 from brindle.operators import budget as B
 from brindle.operators import learning as L
 from brindle.operators import policy as P
@@ -378,3 +379,28 @@ def test_gates_run_in_many_tasks(spark):
     lessons = rows.select(F.lit("b").alias("area"), F.lit("s").alias("slug"), F.lit("c").alias("content"), F.array(F.lit("k")).alias("keywords"), F.col("id").alias("ord"))
     _, bad = W.new_lesson(_author(lessons), files)
     assert sorted(r["count"] for r in bad.groupBy(F.spark_partition_id().alias("task")).count().collect())[-1] <= 2000
+
+
+def test_keywords_are_made_once(spark):
+    """Lesson matching makes the keywords of the index once, however many kinds of keywords there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame([(i, f"t{i}", ["gear", "gear box", ", "]) for i in range(8)], "line_no int, target string, keywords array<string>")
+    index = lines.mapInArrow(made, lines.schema)
+    prompts = spark.createDataFrame([("p", "a gear box, please")], "prompt_id string, prompt string")
+    got = R.matched_lessons(prompts, index, lines.select("target")).collect()
+    assert sorted((r.target, r.score, r["rank"]) for r in got) == [("t0", 3, 1), ("t1", 3, 2)]
+    assert seen.value == 8
+
+
+def test_secret_gate_finds_each_kind(spark):
+    """Looking first for an address or :// changes no verdict."""
+    texts = ["10.0.0.1 login", "10.0.0.1\nlogin", "x\u202810.0.0.1 login\u2028", "https://a:b@c", "https://c", "a://b:c\n@d", "1.2.3 key", ""]
+    ip, url = "ip address paired with credential on one line", "credentialed connection string"
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", G.secret_reason(F.col("x")).alias("r"))
+    assert [r.r for r in rows.orderBy("i").collect()] == [ip, None, ip, url, None, None, None, None]
