@@ -29,13 +29,16 @@ def conforms(text: Column) -> Column:
 
 
 def secret_reason(text: Column, unicode: bool = True) -> Column:
-    """The first kind of credential that a text carries. unicode: digit, space and word classes as in Python."""
+    """The first kind of credential that a text carries. unicode: digit, space and word classes as in Python.
+
+    Only a text with an address anywhere is split into lines, and only one with :// is looked through for credentials in it.
+    """
     u = "(?U)" if unicode else ""
-    on_line = F.exists(lines(text), lambda x: x.rlike(u + C.IPV4) & x.rlike(u + C.AUTH_WORD))
+    on_line = text.rlike(u + C.IPV4) & F.exists(lines(text), lambda x: x.rlike(u + C.IPV4) & x.rlike(u + C.AUTH_WORD))
     return (
         F.when(text.rlike(u + C.SECRET_KEY), "assigned secret key name")
         .when(text.rlike(u + C.SECRET_PEM), "private key block")
-        .when(text.rlike(u + C.SECRET_URL), "credentialed connection string")
+        .when(F.contains(text, F.lit("://")) & text.rlike(u + C.SECRET_URL), "credentialed connection string")
         .when(on_line, "ip address paired with credential on one line")
     )
 

@@ -63,16 +63,21 @@ def new_lesson(candidates: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
 
 def new_skill(candidates: DataFrame, files: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """candidates (name, content, author_*): a new skill document; a header is made where there is no type. Of several
-    with one name the first (by ord, name, content) is taken."""
+    with one name the first (by ord, name, content) is taken.
+
+    The gates run where the candidates are read; only the content is shuffled, once for both results, and documents are
+    made again of what is accepted."""
     path = F.concat(F.lit("Skills/"), T.slug(F.col("name")), F.lit(".md"))
     head = T.filled(C.SKILL_HEADER, F.replace("name", F.lit('"'), F.lit("'")), F.lit(today), F.col("name"))
     has_type = F.coalesce(F.length(T.frontmatter(F.col("content"))["type"]) > 0, F.lit(False))
     doc = F.when(has_type, F.col("content")).otherwise(F.concat(head, F.regexp_replace("content", r"(?U)^\s+", "")))
-    rows = _ordered(candidates).withColumns({"path": path, "document": doc}).join(files.select("path", F.lit(True).alias("there")), "path", "left")
-    error = F.coalesce(_author_error(), F.when(F.col("there"), "skill already exists"), _secret(F.col("name"), F.col("document")), G.violation(F.col("document")))
-    rows = rows.withColumn("own_error", error)
+    rows = _ordered(candidates).withColumns({"path": path, "document": doc, "author_error": _author_error()})
+    gate = F.when(F.col("author_error").isNull(), F.coalesce(_secret(F.col("name"), F.col("document")), G.violation(F.col("document"))))
+    rows = rows.withColumn("gate", gate).drop("document").join(files.select("path", F.lit(True).alias("there")), "path", "left")
+    rows = rows.withColumn("own_error", F.coalesce("author_error", F.when(F.col("there"), "skill already exists"), "gate")).drop("author_error", "gate")
     again = F.row_number().over(W.partitionBy("path", F.col("own_error").isNull()).orderBy("ord", "name", "content")) > 1
     ok, bad = split(rows.withColumn("again", again), F.col("own_error"), F.when(F.col("again"), "skill already exists"))
+    ok = ok.withColumn("document", doc)
     return ok.select("path", T.with_line_end(F.col("document")).alias("document"), T.filled(C.LOG_SKILL, F.col("path")).alias("log_line"), "author_name", "author_email", "ord"), bad
 
 

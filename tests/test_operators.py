@@ -404,3 +404,24 @@ def test_secret_gate_finds_each_kind(spark):
     ip, url = "ip address paired with credential on one line", "credentialed connection string"
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", G.secret_reason(F.col("x")).alias("r"))
     assert [r.r for r in rows.orderBy("i").collect()] == [ip, None, ip, url, None, None, None, None]
+
+
+def test_skill_gates_run_once(spark):
+    """Accepted and rejected skills come of one pass over the candidates, whatever their errors."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"S{i % 40}", "password: abc" if i == 7 else f"do {i}", "" if i == 9 else "ann", "a@example.com", i) for i in range(50)], "name string, content string, author_name string, author_email string, ord int")
+    files = spark.createDataFrame([("Skills/s1.md",)], "path string")
+    ok, bad = W.new_skill(rows.mapInArrow(made, rows.schema), files, "2024-05-05")
+    both = ok.select("path", "ord", F.lit("").alias("error"), "document").unionByName(bad.select("path", "ord", "error", F.lit("").alias("document")))
+    got = {r.ord: r for r in both.collect()}
+    assert len(got) == 50 and seen.value == 50
+    again = {1, *(set(range(40, 50)) - {47, 49})}
+    assert {i for i, r in got.items() if r.error == "skill already exists"} == again
+    assert got[7].error == "assigned secret key name" and got[9].error == "an authenticated author is required"
+    assert got[47].document.endswith("# S7\n\ndo 47\n") and got[49].error == ""
